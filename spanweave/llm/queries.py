@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, shards, url_filters
+from . import decontaminate, shards, toxicity, url_filters
 from .common import table
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -44,6 +44,24 @@ FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+def _remainder(col, n: int):
+    """crc32 of the id as text, modulo n; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the labels outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").where(_remainder(F.col("doc_id"), 5) != 0)
+    return toxicity.train(table(spark, sf_dir, "documents"), labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = toxicity_model(spark, sf_dir)
+    scored = toxicity.with_scores(docs, model, keep=["doc_id", "lang"])
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), toxicity.rejects(model).alias("over_language_threshold"))
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled page outcomes: pages and documents share their ids; bad: toxic, or of no quality."""
     labels = table(spark, sf_dir, "labels")
@@ -90,7 +108,7 @@ FROM v
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_sharding, op8_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op6_sharding, op8_decontamination, op9_toxicity, op10_url_filters)}
 
 
 def oracle_sql() -> dict:
