@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, shards, toxicity, url_filters
+from . import decontaminate, shards, substrings, toxicity, url_filters
 from .common import table
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+34], ' ') s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) p FROM rep),
+words AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) k FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(k, '')) kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shards.shuffle_shards(table(spark, sf_dir, "documents"))
     return dealt.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -108,8 +126,8 @@ FROM v
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_sharding, op8_decontamination, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op3_substring_dedup, op6_sharding, op8_decontamination, op9_toxicity, op10_url_filters)}
 
 
 def oracle_sql() -> dict:
-    return {"op8_decontamination": OP8_SQL, "op10_url_filters": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_url_filters": OP10_SQL}
