@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, shards, substrings, toxicity, url_filters
+from . import bagminhash, decontaminate, shards, substrings, toxicity, url_filters
 from .common import table
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -126,7 +130,7 @@ FROM v
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_substring_dedup, op6_sharding, op8_decontamination, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_substring_dedup, op6_sharding, op8_decontamination, op9_toxicity, op10_url_filters)}
 
 
 def oracle_sql() -> dict:
