@@ -5,8 +5,8 @@ window). Containment of a whole window needs every one of its words, so one nece
 enough for the prefix: the one that is rarest over all documents. Document words are joined
 with these prefix words; the word's place in the window fixes where the window would start,
 which must lie inside the document (positional and length bounds); the document's words there
-are then compared one by one with the window (exact verification). All this is one scan with
-broadcast joins; only verified windows reach the shuffle, as one group for each document.
+are then compared one by one with the window (exact verification). What meets a prefix word
+goes to its document by the document's hash, a group that the document's length bounds.
 
 Windows are joined in blocks of at most ``BLOCK`` so that what is broadcast has a fixed bound;
 more windows mean more scans.
@@ -61,23 +61,26 @@ def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, n_words, hits (array of start, length), items (array of ids as
-    strings): one row for each row of docs."""
+    """doc_id, n_words, hits (array of start, length), items (array of ids as strings): one row
+    for each row of docs."""
     windows = cut(with_prefix(cut(item_windows(items, width), "leaks-windows"), docs), "leaks-prefixes")
-    none = windows.sparkSession.range(1).select(F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"), F.lit("").alias("key"), F.lit(0).alias("at"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    # the empty word at each end of a document meets the empty window: a row for each document
-    each = base.select("doc_id", "text_hash", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word"))
-    start, length = F.col("pos") - F.col("at"), F.size("window")
-    there = F.slice("words", F.greatest(start + 1, F.lit(1)), length)
-    fits = (start >= 0) & (start + length <= F.size("words")) & (F.transform(there, ascii_lower) == F.col("window"))
-    hit = F.size("window") > 0
-    found = []
-    for i, block in enumerate(_blocks(windows, "window")):
-        joined = each.join(F.broadcast(block.unionByName(none) if i == 0 else block), F.lower("word") == F.col("key"))
-        found.append(joined.where(~hit | fits).select("doc_id", "text_hash", F.size("words").alias("n_words"), F.when(hit, F.struct(start.alias("start"), length.alias("length"))).alias("hit"), F.when(hit, F.col("items")).alias("in_items"), (~hit).cast("long").alias("ends")))
-    grouped = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.sum("ends").alias("copies"), F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("in_items")))).alias("items"))
-    return grouped.select("doc_id", "text_hash", "n_words", "hits", "items", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    # only the row's key goes along with each word: what is carried is copied for each of them
+    each = rows.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+    start = F.col("pos") - F.col("at")
+    met = [each.join(F.broadcast(block), F.lower("word") == block["key"]).where(start >= 0).select(each["key"], F.struct(start.alias("start"), "window", "items").alias("met")) for block in _blocks(windows, "window")]
+    met = reduce(DataFrame.unionByName, met).groupBy("key").agg(F.collect_set("met").alias("met"))
+    rows = rows.join(met, "key", "left").select("doc_id", words_of(F.col("text")).alias("words"), "met")
+
+    def fits(m):
+        there = F.slice("words", m["start"] + 1, F.size(m["window"]))
+        return (m["start"] + F.size(m["window"]) <= F.size("words")) & (F.transform(there, ascii_lower) == m["window"])
+
+    rows = rows.select("doc_id", F.size("words").alias("n_words"), F.when(F.col("met").isNotNull(), F.filter("met", fits)).alias("met"))
+    none = lambda col, like: F.coalesce(col, F.array().cast(like))
+    hits = F.array_distinct(F.transform("met", lambda m: F.struct(m["start"].alias("start"), F.size(m["window"]).alias("length"))))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda m: m["items"]))))
+    return rows.select("doc_id", "n_words", none(hits, "array<struct<start:int,length:int>>").alias("hits"), none(found, "array<string>").alias("items"))
 
 
 def n_hit_words(hits: Column) -> Column:
