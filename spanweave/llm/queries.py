@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontaminate, shards, substrings, toxicity, url_filters
+from . import bagminhash, decontaminate, lines, pitman_yor, shards, substrings, toxicity, url_filters
 from .common import table
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _remainder(F.col("doc_id"), 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pitman_yor.score_texts(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
 
@@ -38,6 +45,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.n_hit_words(F.col("hits")).cast("long")
@@ -130,7 +142,7 @@ FROM v
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_near_dedup, op3_substring_dedup, op6_sharding, op8_decontamination, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_near_dedup, op3_substring_dedup, op6_sharding, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filters)}
 
 
 def oracle_sql() -> dict:
