@@ -209,7 +209,8 @@ def _across(members: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, key (of the row), class_id, n_class: rows of one class_id are linked by similarity."""
+    """doc_id, key (of the row), label, class_id, n_class: rows of one label are linked by similarity;
+    class_id is their least doc_id."""
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     signed = rows.select("key", "text").mapInArrow(sign, SIGNED)
     signed = cut(signed, "signatures")
@@ -229,4 +230,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ids = rows.select("key", "doc_id").join(signed.select("key", "node").distinct(), "key")
     tagged = ids.join(labels, "node", "left").select("doc_id", "key", F.coalesce("label", "node").alias("label"))
     named = tagged.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
-    return tagged.join(named, "label").select("doc_id", "key", "class_id", "n_class")
+    return tagged.join(named, "label").select("doc_id", "key", "label", "class_id", "n_class")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group, that of the least doc_id (then the least row key)."""
+    found = near_duplicates(docs, similarity)
+    kept = found.groupBy("label").agg(F.min(F.struct("doc_id", "key"))["key"].alias("__key")).select("__key")
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(kept, "__key").dropDuplicates(["__key"]).drop("__key")

@@ -60,27 +60,27 @@ def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
     return [df] if n == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, hits (array of start, length), items (array of ids as strings): one row
+def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns of docs, n_words, hits (array of start, length), items (array of ids as strings): one row
     for each row of docs."""
     windows = cut(with_prefix(cut(item_windows(items, width), "leaks-windows"), docs), "leaks-prefixes")
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = docs.select(*keep, F.col("text").alias("__text"), F.xxhash64("doc_id", "text").alias("__key"))
     # only the row's key goes along with each word: what is carried is copied for each of them
-    each = rows.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+    each = rows.select("__key", F.posexplode(words_of(F.col("__text"))).alias("pos", "word"))
     start = F.col("pos") - F.col("at")
-    met = [each.join(F.broadcast(block), F.lower("word") == block["key"]).where(start >= 0).select(each["key"], F.struct(start.alias("start"), "window", "items").alias("met")) for block in _blocks(windows, "window")]
-    met = reduce(DataFrame.unionByName, met).groupBy("key").agg(F.collect_set("met").alias("met"))
-    rows = rows.join(met, "key", "left").select("doc_id", words_of(F.col("text")).alias("words"), "met")
+    met = [each.join(F.broadcast(block), F.lower("word") == block["key"]).where(start >= 0).select("__key", F.struct(start.alias("start"), "window", "items").alias("__met")) for block in _blocks(windows, "window")]
+    met = reduce(DataFrame.unionByName, met).groupBy("__key").agg(F.collect_set("__met").alias("__met"))
+    rows = rows.join(met, "__key", "left").select(*keep, words_of(F.col("__text")).alias("__words"), "__met")
 
     def fits(m):
-        there = F.slice("words", m["start"] + 1, F.size(m["window"]))
-        return (m["start"] + F.size(m["window"]) <= F.size("words")) & (F.transform(there, ascii_lower) == m["window"])
+        there = F.slice("__words", m["start"] + 1, F.size(m["window"]))
+        return (m["start"] + F.size(m["window"]) <= F.size("__words")) & (F.transform(there, ascii_lower) == m["window"])
 
-    rows = rows.select("doc_id", F.size("words").alias("n_words"), F.when(F.col("met").isNotNull(), F.filter("met", fits)).alias("met"))
+    rows = rows.select(*keep, F.size("__words").alias("n_words"), F.when(F.col("__met").isNotNull(), F.filter("__met", fits)).alias("__met"))
     none = lambda col, like: F.coalesce(col, F.array().cast(like))
-    hits = F.array_distinct(F.transform("met", lambda m: F.struct(m["start"].alias("start"), F.size(m["window"]).alias("length"))))
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda m: m["items"]))))
-    return rows.select("doc_id", "n_words", none(hits, "array<struct<start:int,length:int>>").alias("hits"), none(found, "array<string>").alias("items"))
+    hits = F.array_distinct(F.transform("__met", lambda m: F.struct(m["start"].alias("start"), F.size(m["window"]).alias("length"))))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform("__met", lambda m: m["items"]))))
+    return rows.select(*keep, "n_words", none(hits, "array<struct<start:int,length:int>>").alias("hits"), none(found, "array<string>").alias("items"))
 
 
 def n_hit_words(hits: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontaminate, lines, pitman_yor, shards, substrings, toxicity, url_filters
+from . import bagminhash, decontaminate, lines, pieces, pitman_yor, shards, substrings, toxicity, url_filters
 from .common import table
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -40,6 +40,15 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+#: A public model file, read where the tokenizers are installed.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_texts(docs, pieces.load(model_path), keep=["doc_id"])
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shards.shuffle_shards(table(spark, sf_dir, "documents"))
     return dealt.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -142,7 +151,7 @@ FROM v
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_near_dedup, op3_substring_dedup, op6_sharding, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_near_dedup, op3_substring_dedup, op5_pieces, op6_sharding, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filters)}
 
 
 def oracle_sql() -> dict:
