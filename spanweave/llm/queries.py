@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontaminate, lines, pieces, pitman_yor, shards, substrings, toxicity, url_filters
+from . import bagminhash, bm25, decontaminate, lines, pieces, pitman_yor, shards, substrings, toxicity, url_filters
 from .common import table
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -40,6 +40,12 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.top_k(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
 #: A public model file, read where the tokenizers are installed.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -151,7 +157,7 @@ FROM v
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_near_dedup, op3_substring_dedup, op5_pieces, op6_sharding, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_near_dedup, op3_substring_dedup, op4_bm25_search, op5_pieces, op6_sharding, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filters)}
 
 
 def oracle_sql() -> dict:
