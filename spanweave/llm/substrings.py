@@ -31,7 +31,7 @@ from .common import shuffle_partitions
 from .text_arrays import SPACED, Words, chunks, gram_hashes
 
 WINDOW, ANCHOR = 35, 20
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 
 
 def winnowed(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,32 +48,35 @@ def winnowed(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, n
     return least, place
 
 
-def _runs(keys: np.ndarray, starts: np.ndarray) -> tuple[list, list[bytes]]:
-    """Runs of consecutive starts of each key, as int32 pairs (start, length)."""
-    if not len(keys):
-        return [], []
+def _runs(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive starts of each key: keys, and int32 rows (start, length)."""
     order = np.lexsort((starts, keys))
     keys, starts = keys[order], starts[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
-    pairs = np.stack([starts[at], np.diff(np.append(at, len(keys)))], axis=1).astype(np.int32)
-    own, first = np.unique(keys[at], return_index=True)
-    return own.tolist(), [pairs[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(at)), strict=True)]
+    return keys[at], np.stack([starts[at], np.diff(np.append(at, len(keys)))], axis=1).astype(np.int32)
 
 
-SEEDS = "bucket int, key long, payload binary"
+def _dealt(keys: np.ndarray, runs: np.ndarray, n_buckets: int) -> tuple[list[int], list[bytes]]:
+    """Runs of all keys as one payload for each bucket of keys."""
+    order, at = splits(keys % n_buckets, n_buckets)
+    used = np.flatnonzero(np.diff(at))
+    return [int(b) for b in used], [pack(keys[order[at[b] : at[b + 1]]], runs[order[at[b] : at[b + 1]]]) for b in used]
+
+
+SEEDS = "bucket int, marked boolean, payload binary"
 
 
 def seeds(n_buckets: int, window: int, anchor: int):
-    """Batches of (key, text) to rows for buckets, and rows of a key for windows that repeat here."""
+    """Batches of (key, text) to anchors for buckets, and to marked runs of windows that repeat here."""
 
     def flush(found):
         hashes, anchors, keys, starts, places = (np.concatenate(x) for x in zip(*found, strict=True))
         _, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         again = counts[inverse] > 1
-        own, runs = _runs(keys[again], starts[again])
-        yield [int(k) % n_buckets for k in own], own, runs
+        buckets, payloads = _dealt(*_runs(keys[again], starts[again]), n_buckets)
+        yield buckets, True, payloads
         sent = np.sort(first)
         hashes, anchors, keys, starts, places = (x[sent] for x in (hashes, anchors, keys, starts, places))
         order, at = splits((anchors % np.uint64(n_buckets)).astype(np.int64), n_buckets)
@@ -87,10 +90,10 @@ def seeds(n_buckets: int, window: int, anchor: int):
             own, index = np.unique(k[head], return_inverse=True)
             payloads.append(pack(own, index.astype(np.int32), s[head].astype(np.int32), np.diff(np.append(head, len(rows))).astype(np.uint16), planes(anchors[rows][head], 8), planes(hashes[rows], 6)))
             buckets.append(int(b))
-        yield buckets, [None] * len(buckets), payloads
+        yield buckets, False, payloads
 
-    def record(buckets, keys, payloads):
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "key", "payload"])
+    def record(buckets, marked, payloads):
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([marked] * len(buckets), pa.bool_()), pa.array(payloads, pa.binary())], ["bucket", "marked", "payload"])
 
     def run(batches):
         found, n, passed = [], 0, 0
@@ -117,34 +120,50 @@ def seeds(n_buckets: int, window: int, anchor: int):
     return run
 
 
-def extend(table: pa.Table) -> pa.Table:
-    """One bucket: anchors that occur again, extended; rows of a key pass through."""
-    marked = table.filter(pa.compute.is_valid(table["key"])).select(["key", "payload"])
-    parts = [unpack(b.as_py()) for b in table.filter(pa.compute.is_null(table["key"]))["payload"]]
-    keys, runs = [], []
-    if parts:
-        key = np.concatenate([p[0][p[1]] for p in parts])
-        start, n = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64)
-        anchor, hashes = np.concatenate([from_planes(p[4]) for p in parts]), np.concatenate([from_planes(p[5]) for p in parts])
-        _, index, counts = np.unique(anchor, return_inverse=True, return_counts=True)
-        rows = np.repeat(np.arange(len(key)), n)
-        kept = counts[index[rows]] > 1
-        step = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-        rows, step, hashes = rows[kept], step[kept], hashes[kept]
-        both = hashes | (index[rows].astype(np.uint64) << np.uint64(48))
-        _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-        again = counts[inverse] > 1
-        keys, runs = _runs(key[rows[again]], start[rows[again]] + step[again])
-    found = pa.table({"key": pa.array(keys, pa.int64()), "payload": pa.array(runs, pa.binary())})
-    return pa.concat_tables([marked.cast(found.schema), found]).rename_columns(["key", "runs"])
+def extend(n_buckets: int):
+    """One bucket: anchors that occur again, extended; marked runs pass on with what is found."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [(m.as_py(), unpack(b.as_py())) for m, b in zip(table["marked"], table["payload"], strict=True)]
+        keys, runs = ([p[i] for m, p in parts if m] for i in (0, 1))
+        parts = [p for m, p in parts if not m]
+        if parts:
+            key = np.concatenate([p[0][p[1]] for p in parts])
+            start, n = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64)
+            anchor, hashes = np.concatenate([from_planes(p[4]) for p in parts]), np.concatenate([from_planes(p[5]) for p in parts])
+            _, index, counts = np.unique(anchor, return_inverse=True, return_counts=True)
+            rows = np.repeat(np.arange(len(key)), n)
+            kept = counts[index[rows]] > 1
+            step = (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n))[kept]
+            rows, hashes = rows[kept], hashes[kept]
+            both = hashes | (index[rows].astype(np.uint64) << np.uint64(48))
+            _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
+            again = counts[inverse] > 1
+            own, found = _runs(key[rows[again]], start[rows[again]] + step[again])
+            keys.append(own)
+            runs.append(found)
+        buckets, payloads = _dealt(np.concatenate(keys), np.concatenate(runs), n_buckets)
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+    return run
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """One bucket of keys: all runs of each key, one after another."""
+    parts = [unpack(b.as_py()) for b in table["payload"]]
+    keys, runs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    own, first = np.unique(keys[order], return_index=True)
+    runs = runs[order]
+    return pa.table({"key": pa.array(own), "runs": pa.array([runs[a:b].tobytes() for a, b in zip(first, np.append(first, len(keys))[1:], strict=True)], pa.binary())})
 
 
 def covered(words: Words, runs: list, window: int) -> np.ndarray:
-    """Words inside any run of repeated windows; runs: for each document a list of bytes or None."""
+    """Words inside any run of repeated windows; runs: bytes of each document, or None."""
     edge = np.zeros(len(words.starts) + 1, np.int32)
     for d, own in enumerate(runs):
-        for pairs in own or ():
-            a = np.frombuffer(pairs, np.int32).reshape(-1, 2)
+        if own:
+            a = np.frombuffer(own, np.int32).reshape(-1, 2)
             np.add.at(edge, words.first[d] + a[:, 0], 1)
             np.add.at(edge, words.first[d] + a[:, 0] + a[:, 1] + window - 1, -1)
     return np.cumsum(edge)[:-1] > 0
@@ -173,8 +192,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     sown = rows.select("key", "text").mapInArrow(seeds(n, window, anchor), SEEDS)
-    runs = sown.groupBy("bucket").applyInArrow(extend, "key long, runs binary")
-    runs = runs.groupBy("key").agg(F.collect_list("runs").alias("runs"))
+    runs = sown.groupBy("bucket").applyInArrow(extend(n), "bucket int, payload binary")
+    runs = runs.groupBy("bucket").applyInArrow(gather, "key long, runs binary")
 
     def take(batches):
         for batch in batches:
