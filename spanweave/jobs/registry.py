@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import element_queries, interval_queries
+
+
+def flagship(spark, sf_dir):
+    return interval_queries.q_linkage_regions(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (*interval_queries.QUERIES, *element_queries.QUERIES)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return interval_queries.SQL | element_queries.SQL
