@@ -61,9 +61,9 @@ def _fitting(host: Column, path: Column, rules) -> tuple[Column, Column]:
 def _strength(groups: DataFrame, key: str) -> DataFrame:
     """One row: the moment estimate of the prior's strength over the groups of a level."""
     p, n = F.col("bad") / F.col("n"), F.col("n")
-    mu = F.sum("bad") / F.sum("n")
-    spread = F.sum(n * p * p) / F.sum("n") - mu * mu
-    noise = mu * (1 - mu) * F.count(F.lit(1)) / F.sum("n")
+    mu = F.try_divide(F.sum("bad"), F.sum("n"))
+    spread = F.try_divide(F.sum(n * p * p), F.sum("n")) - mu * mu
+    noise = F.try_divide(mu * (1 - mu) * F.count(F.lit(1)), F.sum("n"))
     raw = (mu * (1 - mu) - spread) / F.greatest(spread - noise, F.lit(1e-9))
     return groups.agg(F.coalesce(F.least(F.greatest(raw, F.lit(1.0)), F.lit(1000.0)), F.lit(1.0)).alias(key))
 
@@ -81,7 +81,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     rows = lambda df: df.where("n > 0")
     priors = _strength(rows(hosts), "m_host").crossJoin(_strength(rows(domains), "m_domain")).crossJoin(_strength(rows(suffixes), "m_suffix"))
-    priors = priors.crossJoin(suffixes.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0)).alias("mu")))
+    priors = priors.crossJoin(suffixes.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)).alias("mu")))
     shrunk = lambda mu, m: (F.col("bad") + F.col(m) * F.col(mu)) / (F.col("n") + F.col(m))
     p = F.broadcast(priors)  # one row
     suffixes = suffixes.crossJoin(p).select("suffix", shrunk("mu", "m_suffix").alias("suffix_rate"))
