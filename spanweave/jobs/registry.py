@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import element_queries, interval_queries
+from . import element_queries, gene_queries, interval_queries
+
+MODULES = (interval_queries, element_queries, gene_queries)
 
 
 def flagship(spark, sf_dir):
@@ -10,8 +12,8 @@ def flagship(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*interval_queries.QUERIES, *element_queries.QUERIES)}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return interval_queries.SQL | element_queries.SQL
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
