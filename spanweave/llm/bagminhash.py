@@ -11,7 +11,8 @@ slots are likely to have met; where some are not, the limit doubles.
 Equal bags form a class, and one of its rows stands for it. Bands of the signatures give buckets.
 First each member of a bucket is verified against the bucket's center (a star, not all pairs) and
 components are formed. In buckets that still hold several components, blocks of members are
-compared by signature, and pairs of different components that agree enough are verified as well.
+verified against each other at once (a product of 0-1 matrices gives all overlaps), so that only
+links between components leave the task.
 Verification is the exact weighted Jaccard similarity of both bags. No bucket is capped.
 
 Edge cases: texts of one to four words have one run, the whole text; texts without words (null
@@ -33,9 +34,10 @@ from .text_arrays import SPACED, Words, chunks, gram_hashes, mix
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
-#: Agreeing slots that a pair needs to be verified; at similarity 0.8 one pair in 100,000 has fewer.
+#: Agreeing slots that a star's pair needs to be verified; at similarity 0.8 one in 100,000 has fewer.
 LEAST_AGREEING = 48
 BLOCK = 1024
+COLUMNS = 4096
 _LOW48 = np.uint64((1 << 48) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,50 +164,91 @@ def elements(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([value[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["node", "bag"])
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.sort(np.concatenate([a, b]))
+    same = int((both[1:] == both[:-1]).sum())
+    return same / max(1, len(both) - same)
+
+
+def _bags_of(nodes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, bag of each of the nodes, from one row of its class. rows: key, text."""
+    needed = classes.join(nodes.distinct(), "node").select("key")
+    return cut(rows.join(needed, "key").select("key", "text").mapInArrow(elements, "node long, bag binary").dropDuplicates(["node"]), "bags")
+
+
 def _overlap(batches):
     for batch in batches:
-        out = []
-        for a, b in zip(batch.column("bag_a"), batch.column("bag_b"), strict=True):
-            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([a, b]))
-            same = int((both[1:] == both[:-1]).sum())
-            out.append(same / max(1, len(both) - same))
+        pairs = zip(batch.column("bag_a"), batch.column("bag_b"), strict=True)
+        out = [_jaccard(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in pairs]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose bags are similar enough. rows: key, text."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = classes.join(ends, "node").select("key")
-    found = rows.join(needed, "key").select("key", "text").mapInArrow(elements, "node long, bag binary").dropDuplicates(["node"])
+    found = _bags_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows, classes)
     bag = lambda end: found.select(F.col("node").alias(end), F.col("bag").alias(f"bag_{end}"))
-    found = cut(found, "bags")
     met = pairs.join(bag("a"), "a").join(bag("b"), "b").select("a", "b", "bag_a", "bag_b")
     return met.mapInArrow(_overlap, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
-def _agreeing(table: pa.Table) -> pa.Table:
-    """One pair of blocks of a bucket: pairs of different labels that agree in enough slots."""
-    node, label, block = (table[c].to_numpy() for c in ("node", "label", "block"))
-    slots = np.stack([np.frombuffer(s.as_buffer(), np.uint16) for s in table["slots"]])
-    low = np.flatnonzero(block == table["low"][0].as_py())
-    high = np.flatnonzero(block == table["high"][0].as_py())
-    same = np.zeros((len(low), len(high)), np.int16)
-    for k in range(slots.shape[1]):
-        same += slots[low, k][:, None] == slots[high, k][None, :]
-    i, j = np.nonzero((same >= LEAST_AGREEING) & (label[low][:, None] != label[high][None, :]) & (node[low][:, None] < node[high][None, :] if low is high or (len(low) == len(high) and (low == high).all()) else True))
-    a, b = node[low[i]], node[high[j]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def _across(members: DataFrame, slots: DataFrame) -> DataFrame:
-    """Pairs to verify in buckets that hold several labels, found block against block."""
+def _shared(bags_: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sizes of the overlaps of bags low and bags high: products of 0-1 matrices, some columns at
+    a time, over the elements that two bags have."""
+    doc = np.repeat(np.arange(len(bags_)), [len(b) for b in bags_])
+    _, column, n = np.unique(np.concatenate(bags_), return_inverse=True, return_counts=True)
+    both = n[column] > 1
+    doc, column = doc[both], (np.cumsum(n > 1) - 1)[column[both]]
+    out = np.zeros((len(low), len(high)), np.float64)
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    edges = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + COLUMNS, COLUMNS))
+    for k in range(len(edges) - 1):
+        part = slice(edges[k], edges[k + 1])
+        table = np.zeros((len(bags_), COLUMNS), np.float32)
+        table[doc[part], column[part] - k * COLUMNS] = 1
+        out += table[low] @ table[high].T
+    return out
+
+
+def _linked(similarity: float):
+    """One pair of blocks of a bucket: links between labels, as few as unite what belongs together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label, block = (table[c].to_numpy() for c in ("node", "label", "block"))
+        bags_ = [np.frombuffer(b.as_buffer(), np.uint64) for b in table["bag"]]
+        size = np.array([len(b) for b in bags_])
+        low = np.flatnonzero(block == table["low"][0].as_py())
+        high = np.flatnonzero(block == table["high"][0].as_py())
+        same = _shared(bags_, low, high)
+        alike = same >= similarity * (size[low][:, None] + size[high][None, :] - same)
+        i, j = np.nonzero(alike & (label[low][:, None] != label[high][None, :]))
+        home = {x: x for x in label.tolist()}
+
+        def find(x):
+            while home[x] != x:
+                home[x] = home[home[x]]
+                x = home[x]
+            return x
+
+        links = []
+        for x, y in zip(low[i].tolist(), high[j].tolist(), strict=True):
+            a, b = find(label[x].item()), find(label[y].item())
+            if a != b:
+                home[a] = b
+                links.append(sorted((node[x].item(), node[y].item())))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def _across(members: DataFrame, bags_: DataFrame, similarity: float) -> DataFrame:
+    """Links in buckets that hold several labels, found block against block."""
     order = Window.partitionBy("bucket").orderBy("node")
     placed = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
     last = placed.groupBy("bucket").agg(F.max("block").alias("last"))
     each = placed.join(last, "bucket").select("bucket", "node", "label", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     each = each.select("bucket", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return each.join(slots, "node").groupBy("bucket", "low", "high").applyInArrow(_agreeing, "a long, b long").distinct()
+    return each.join(bags_, "node").groupBy("bucket", "low", "high").applyInArrow(_linked(similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -222,11 +265,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     first = stars(members).join(spoke("a"), "a").join(spoke("b"), "b").where(near(F.col("slots_a"), F.col("slots_b"))).select("a", "b")
     texts = rows.select("key", "text")
     links = cut(_verify(cut(first, "pairs"), texts, classes, similarity), "links")
-    rest = _across(open_members(members.select("bucket", "node"), components(links)), slots)
-    rest = cut(rest, "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(cut(_verify(rest, texts, classes, similarity), "links"))
     labels = components(links)
+    rest = cut(open_members(members.select("bucket", "node"), labels), "open")
+    more = cut(_across(rest, _bags_of(rest.select("node"), texts, classes), similarity), "links")
+    if not more.isEmpty():
+        labels = components(links.select("a", "b").unionByName(more))
     ids = rows.select("key", "doc_id").join(signed.select("key", "node").distinct(), "key")
     tagged = ids.join(labels, "node", "left").select("doc_id", "key", F.coalesce("label", "node").alias("label"))
     named = tagged.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
