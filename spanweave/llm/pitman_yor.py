@@ -34,11 +34,12 @@ from .blobs import from_planes, pack, planes, splits, unpack
 from .common import cut, shuffle_partitions
 from .text_arrays import SPACED, chunks, mix
 
-FLUSH_WORDS = 3_000_000
+FLUSH_WORDS = 1_200_000
 HASH_BYTES = 7
 _MASK = np.uint64((1 << (8 * HASH_BYTES)) - 1)
 BEGIN, END = np.uint64(1), np.uint64(2)
 EXACT = 50
+SLICE = 400_000
 BURN_IN, SAMPLES = 1, 2
 STRENGTH_ROOT, STRENGTH = 10.0, 1.0
 
@@ -84,8 +85,9 @@ def deal(n_buckets: int, hot: np.ndarray):
     def flush(found):
         sizes = np.array([len(f[0]) for f in found])
         keys, train = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        doc = np.concatenate([f[2] + base for f, base in zip(found, np.cumsum(sizes) - sizes, strict=True)])
+        doc = np.concatenate([(f[2] + base).astype(np.int32) for f, base in zip(found, np.cumsum(sizes) - sizes, strict=True)])
         context, word = (np.concatenate([f[i] for f in found]) for i in (3, 4))
+        found.clear()
         where = context.copy()
         split = np.isin(context, hot)
         where[split] = mix(context[split] ^ (word[split] << np.uint64(3)))
@@ -106,7 +108,7 @@ def deal(n_buckets: int, hot: np.ndarray):
             n += len(part[4])
             if n >= FLUSH_WORDS:
                 yield from records(flush(found))
-                found, n = [], 0
+                n = 0
         if found:
             yield from records(flush(found))
 
@@ -139,11 +141,11 @@ def build(n_buckets: int, hot: np.ndarray):
         words = np.unique(np.concatenate(local))
         words = words[np.lexsort((words, words % np.uint64(n_buckets)))]
         sort = np.argsort(words)
-        place = [sort[np.searchsorted(words, x, sorter=sort)] for x in local]
+        place = [sort[np.searchsorted(words, x, sorter=sort)].astype(np.int32) for x in local]
         c = np.concatenate([x[np.cumsum(p[1], dtype=np.int64)] for x, p in zip(place, parts, strict=True)])
-        w = np.concatenate([x[from_planes(p[2]).astype(np.int64)] for x, p in zip(place, parts, strict=True)])
+        w = np.concatenate([x[from_planes(p[2]).astype(np.int32)] for x, p in zip(place, parts, strict=True)])
         sizes = np.array([len(p[4]) for p in parts])
-        d = np.concatenate([from_planes(p[3]).astype(np.int64) + base for p, base in zip(parts, np.cumsum(sizes) - sizes, strict=True)])
+        d = np.concatenate([(from_planes(p[3]) + np.uint64(base)).astype(np.int32) for p, base in zip(parts, np.cumsum(sizes) - sizes, strict=True)])
         keys, train = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
         both = c.astype(np.int64) * len(words) + w
         order = np.argsort(both, kind="stable")
@@ -306,26 +308,34 @@ def score(level: Level, roots: dict[int, Root], hots: dict[int, dict[int, tuple[
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         steps, w, learned, times, d, keys, ask, customers, ones_c, is_hot, hot_words = unpack(state["payload"][0].as_py())
-        c, w, d = np.cumsum(steps, dtype=np.int64), from_planes(w).astype(np.int64), from_planes(d).astype(np.int64)
-        place = np.zeros(int(max(len(customers), 1)), np.int64)
+        c, w, d = np.cumsum(steps, dtype=np.uint32), from_planes(w).astype(np.uint32), from_planes(d).astype(np.uint32)
+        place = np.zeros(max(len(customers), 1), np.uint32)
         place[ask] = np.arange(len(ask))
-        count = _answers(answers, COUNTS)[0][1][0].astype(np.int64)[place[w]]
-        customers, many = customers.astype(np.int64), learned > 1
+        known = _answers(answers, COUNTS)[0][1][0]
         parents, tables_of = dict(_answers(answers, PARENT)), dict(_answers(answers, TABLES))
-        mean = np.zeros(len(w))
+        many = np.flatnonzero(learned > 1)
+        drawn = []  # for each sample: the parent's probabilities, tables of each pair, totals of each context
         for number, root in roots.items():
-            tables = (learned > 0).astype(np.int64)
+            tables = np.minimum(learned, 1)
             if number in tables_of:
                 tables[many] = tables_of[number][0]
             total = np.bincount(c, weights=tables, minlength=len(customers))
-            full = customers.copy()
+            full = customers.astype(float)
             for i, x in zip(is_hot, hot_words.view(np.int64), strict=True):
                 full[i], total[i] = hots[number][int(x)]
-            back = root.probability(parents[number][0].astype(float))[place[w]]
-            mean += (learned - level.discount * tables + (level.strength + level.discount * total[c]) * back) / (level.strength + full[c])
-        log = np.log10(mean / len(roots))
-        each = lambda x: np.bincount(d, weights=np.repeat(x, times), minlength=len(keys))
-        sums = [each(np.ones(len(w))), each(count > 0), each(np.log10(count + 1.0)), each(log)]
+            drawn.append((root.probability(parents[number][0].astype(float)), tables, total, full))
+        sums = np.zeros((4, len(keys)))
+        ends = np.cumsum(times, dtype=np.int64)
+        for lo in range(0, len(w), SLICE):  # some pairs at a time: what is made for each of them is large
+            part = slice(lo, lo + SLICE)
+            at, ctx = place[w[part]], c[part]
+            mean = np.zeros(len(at))
+            for back, tables, total, full in drawn:
+                mean += (learned[part] - level.discount * tables[part] + (level.strength + level.discount * total[ctx]) * back[at]) / (level.strength + full[ctx])
+            count = known[at].astype(float)
+            docs = d[ends[lo] - times[lo] : ends[min(lo + SLICE, len(w)) - 1]]
+            for k, x in enumerate((None, (count > 0).astype(float), np.log10(count + 1), np.log10(mean / len(drawn)))):
+                sums[k] += np.bincount(docs, weights=None if x is None else np.repeat(x, times[part]), minlength=len(keys))
         order, at = splits(keys % n_buckets, n_buckets)
         used = np.flatnonzero(np.diff(at))
         blobs = [pack(keys[o], sums[0][o].astype(np.uint32), sums[1][o].astype(np.uint32), sums[2][o], sums[3][o]) for o in (order[at[b] : at[b + 1]] for b in used)]
