@@ -91,6 +91,31 @@ def test_lines(spark, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def _edited(line: str, rng: random.Random, kind: str) -> str:
+    """line with a fifth of its words or characters replaced, at most."""
+    parts = line.split() if kind == "words" else list(line)
+    for i in rng.sample(range(len(parts)), max(1, int(len(parts) * rng.uniform(0.05, 0.2)))):
+        parts[i] = rng.choice(VOCABULARY) if kind == "words" else rng.choice("abcdefghij")
+    return " ".join(parts) if kind == "words" else "".join(parts)
+
+
+def line_recall(spark, kind: str, count: int = 100) -> tuple[set, set]:
+    """Lines with an earlier one at edit similarity 0.8, by brute force, and those removed."""
+    rng, rows = random.Random(31), []
+    for i in range(count):
+        line = prose(rng.randint(5, 60), 1000 + i)
+        rows += [(2 * i, line), (2 * i + 1, _edited(line, rng, kind))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).cache()
+    pairs = df.alias("x").crossJoin(df.alias("y")).where("x.doc_id < y.doc_id and levenshtein(x.text, y.text, cast(floor(0.2 * greatest(length(x.text), length(y.text))) as int)) >= 0")
+    want = {r[0] for r in pairs.select("y.doc_id").collect()}
+    return want, {r.doc_id for r in lines.dedup_lines(df).where("n_removed = 1").select("doc_id").collect()}
+
+
+def test_line_recall_of_changed_words(spark):
+    want, got = line_recall(spark, "words")
+    assert got <= want and len(want) > 80 and len(got) >= 0.99 * len(want)
+
+
 def test_edit_similarity(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghxy"), ("abcdefghij", "abcdefgxyz"), ("w " * 3000, "w " * 2900 + "v " * 100)], "a string, b string")
     got = [r[0] for r in df.select(lines._edit_similar(F.trim("a"), F.trim("b"), 0.8)).collect()]
