@@ -116,6 +116,13 @@ def test_line_recall_of_changed_words(spark):
     assert got <= want and len(want) > 80 and len(got) >= 0.99 * len(want)
 
 
+def test_lines_that_differ_by_punctuation(spark):
+    line = prose(12, 41).split()
+    rows = [(1, "---\n" + " ".join(line) + "\n}"), (2, "---\n" + ", ".join(line) + "\r\n}"), (3, "\t" + "\t".join(line) + ".\n---")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "---\n}", 3: "---"}
+
+
 def test_edit_similarity(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghxy"), ("abcdefghij", "abcdefgxyz"), ("w " * 3000, "w " * 2900 + "v " * 100)], "a string, b string")
     got = [r[0] for r in df.select(lines._edit_similar(F.trim("a"), F.trim("b"), 0.8)).collect()]
