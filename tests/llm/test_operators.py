@@ -129,6 +129,13 @@ def test_edit_similarity(spark):
     assert got == [True, False, True]
 
 
+def test_long_lines_are_measured_in_characters(spark):
+    words = [f"{i:x}" for i in range(1500)]
+    changed = ["x" + w[1:] if i % 4 == 0 else w for i, w in enumerate(words)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(changed))], "a string, b string")
+    assert df.select(lines._edit_similar(F.col("a"), F.col("b"), 0.8)).first()[0]
+
+
 def test_leaks(spark, docs, none):
     item = prose(60, 2).split()[5:25]
     items = spark.createDataFrame([(1, " ".join(item).title()), (2, "One two, THREE"), (3, None), (4, "..."), (10, " ".join(item)), (11, "absent words here")], "item_id long, text string")
