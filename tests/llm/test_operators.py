@@ -123,6 +123,14 @@ def test_lines_that_differ_by_punctuation(spark):
     assert got == {1: rows[0][1], 2: "---\n}", 3: "---"}
 
 
+def test_line_near_one_of_two_with_the_same_words(spark):
+    words = [f"{w}{i}" for i, w in enumerate(prose(60, 51).split())]
+    turned, plain = " ".join(reversed(words)), " ".join(words)
+    rows = [(1, turned), (2, turned), (3, turned), (4, plain), (5, plain.replace(words[30], "zzzz"))]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
 def test_edit_similarity(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghxy"), ("abcdefghij", "abcdefgxyz"), ("w " * 3000, "w " * 2900 + "v " * 100)], "a string, b string")
     got = [r[0] for r in df.select(lines._edit_similar(F.trim("a"), F.trim("b"), 0.8)).collect()]
