@@ -27,7 +27,16 @@ def q_library_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.library_flip(aln(spark, sf_dir), 2).groupBy("chrom", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-Q_LIBRARY_FLIP = f"WITH {ALN} SELECT chrom, flag, count(*) AS n FROM (SELECT chrom, CASE WHEN flag & 128 <> 0 THEN xor(flag, 16) WHEN flag & 64 <> 0 THEN xor(flag, 32) ELSE flag END AS flag FROM aln) GROUP BY 1, 2"
+_FLIPPED = "CASE WHEN flag & 128 <> 0 THEN xor(flag, 48) ELSE flag END"
+Q_LIBRARY_FLIP = f"WITH {ALN} SELECT chrom, {_FLIPPED} AS flag, count(*) AS n FROM aln GROUP BY 1, 2"
+
+
+def q_flip_then_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orientation first, cleaning after it: a proper pair stays one."""
+    return reads.clean_reads(reads.library_flip(_flagged(spark, sf_dir), 2)).groupBy("chrom", "flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+Q_FLIP_THEN_CLEAN = f"WITH {ALN} SELECT chrom, flag, count(*) AS n FROM (SELECT chrom, acceptor - donor AS gap, {_FLIPPED} AS flag FROM aln) WHERE flag & 256 = 0 AND gap < 100000 AND ((flag & 16) <> 0) <> ((flag & 32) <> 0) GROUP BY 1, 2"
 
 
 def q_fl_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,5 +352,5 @@ def q_clique_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.overlap_cliques(_introns(spark, sf_dir), [*SITE, "gene"])
 
 
-QUERIES = [q_clean_reads, q_library_flip, q_fl_regex, q_introns_from_blocks, q_cigar, q_flanked_junctions, q_junction_support, q_junction_support_paired, q_junction_filter_pass, q_junction_filter_fixpoint, q_psi_spliced, q_strand_vote, q_tss_exon_asof, q_tes_exon_asof, q_sites_in_gene, q_exon_enumeration, q_unused_junctions, q_txs_local_max, q_segments, q_element_seg_index, q_isoform_tag, q_runs, q_subpath_anti, q_seg_link_counts, q_intron_type, q_splice_priority, q_bed6, q_bed12, q_path_enum, q_clique_merge]
+QUERIES = [q_clean_reads, q_library_flip, q_flip_then_clean, q_fl_regex, q_introns_from_blocks, q_cigar, q_flanked_junctions, q_junction_support, q_junction_support_paired, q_junction_filter_pass, q_junction_filter_fixpoint, q_psi_spliced, q_strand_vote, q_tss_exon_asof, q_tes_exon_asof, q_sites_in_gene, q_exon_enumeration, q_unused_junctions, q_txs_local_max, q_segments, q_element_seg_index, q_isoform_tag, q_runs, q_subpath_anti, q_seg_link_counts, q_intron_type, q_splice_priority, q_bed6, q_bed12, q_path_enum, q_clique_merge]
 SQL = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES if f.__name__.upper() in globals()}

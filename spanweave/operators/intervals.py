@@ -72,14 +72,18 @@ def shared_bases(left: tuple[str, str], right: tuple[str, str]) -> Column:
     return F.greatest(F.least(F.col(left[1]), F.col(right[1])) - F.greatest(F.col(left[0]), F.col(right[0])), F.lit(0))
 
 
-def nearest_after(sites: DataFrame, targets: DataFrame, by: list[str], low: int, high: int, pos: str = "pos") -> DataFrame:
+def nearest_after(sites: DataFrame, targets: DataFrame, by: list[str], low: int, high: int, pos: str = "pos", tile: int = 1 << 16) -> DataFrame:
     """For each site (repeats kept) the nearest target at a distance of low to high: target or
-    null. One sort of both sides, no range join: targets are moved back by low, and the next one
-    at or after a site is the nearest that is far enough."""
-    both = sites.select(*by, F.col(pos).alias("at"), F.lit(None).cast("long").alias("target"), F.lit(0).alias("kind"))
-    both = both.unionByName(targets.select(*by, (F.col(pos) - low).alias("at"), F.col(pos).cast("long").alias("target"), F.lit(1).alias("kind")).distinct())
-    w = Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("target", F.first("target", ignorenulls=True).over(w)).where("kind = 0")
+    null. No range join: targets are moved back by low, and a running last value over falling
+    positions is the next one at or after a site. A target lies in its own tile of positions and
+    in the one before it, which is as far as a site may look, so a long chromosome spreads."""
+    size = max(tile, high - low + 1, 1)
+    home = F.floor(F.col("at") / size)
+    both = sites.select(*by, F.col(pos).alias("at"), F.lit(None).cast("long").alias("target"), F.lit(0).alias("kind")).withColumn("__tile", home)
+    ends = targets.select(*by, (F.col(pos) - low).alias("at"), F.col(pos).cast("long").alias("target"), F.lit(1).alias("kind")).distinct()
+    both = both.unionByName(ends.withColumn("__tile", F.explode(F.array(home, home - 1))))
+    w = Window.partitionBy(*by, "__tile").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("target", F.last("target", ignorenulls=True).over(w)).where("kind = 0")
     return found.select(*by, F.col("at").alias(pos), F.when(F.col("target") - F.col("at") <= high, F.col("target")).alias("target"))
 
 

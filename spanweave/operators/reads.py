@@ -21,10 +21,12 @@ def clean_reads(df: DataFrame, paired: bool = True, settings: Settings = DEFAULT
 
 
 def library_flip(df: DataFrame, read: int) -> DataFrame:
-    """Flip the strand bits of read 1 or of read 2, and the mate's bit of the other."""
-    own, other = (READ1, READ2) if read == 1 else (READ2, READ1)
+    """Flip both strand bits, its own and its mate's, of read 1 or of read 2; the other read stays.
+
+    The stranded-library rules name the read to flip: 2 where read 1 points along the transcript,
+    1 where read 2 does. Whether read and mate differ in strand does not change."""
     flag = F.col("flag")
-    return df.withColumn("flag", F.when(has_flag("flag", own), flag.bitwiseXOR(F.lit(REVERSE))).when(has_flag("flag", other), flag.bitwiseXOR(F.lit(MATE_REVERSE))).otherwise(flag))
+    return df.withColumn("flag", F.when(has_flag("flag", READ1 if read == 1 else READ2), flag.bitwiseXOR(F.lit(REVERSE | MATE_REVERSE))).otherwise(flag))
 
 
 def full_length_count(name: str) -> Column:

@@ -10,17 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
+
+    A single-machine session without the setting gets a temporary folder; on a cluster there is
+    no such thing as a safe default, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = os.path.join(tempfile.gettempdir(), "spanweave-shared")
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: short lineage that outlives executors."""
+    """Write df to the shared folder and read it again: short lineage that outlives executors.
+
+    All tables of an application lie in one folder named by its id, to be removed with it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

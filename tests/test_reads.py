@@ -49,7 +49,8 @@ def test_formats(spark, tmp_path):
 
 def test_library_flip(spark):
     df = spark.createDataFrame([(64 + 16,), (128,)], "flag int")
-    assert [r.flag for r in reads.library_flip(df, 1).collect()] == [64, 128 + 32]
+    assert [r.flag for r in reads.library_flip(df, 1).collect()] == [64 + 32, 128]
+    assert [r.flag for r in reads.library_flip(df, 2).collect()] == [64 + 16, 128 + 48]
 
 
 GENE = iso.Gene(7, frozenset({0}), frozenset({6}), frozenset({(1, 1), (3, 3), (5, 5)}), frozenset())
