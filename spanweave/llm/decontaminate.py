@@ -60,27 +60,48 @@ def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
     return [df] if n == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs, n_words, hits (array of start, length), items (array of ids as strings): one row
-    for each row of docs."""
+def _checked(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """__leak_key, __leak_hits, __leak_items: one row for each distinct row of docs with any hit.
+
+    Written once: a filter on the result must not be carried into the word by word comparison,
+    where the optimizer would split the text again for each candidate."""
     windows = cut(with_prefix(cut(item_windows(items, width), "leaks-windows"), docs), "leaks-prefixes")
-    rows = docs.select(*keep, F.col("text").alias("__text"), F.xxhash64("doc_id", "text").alias("__key"))
+    rows = docs.select(F.col("text").alias("__text"), _row_key().alias("__leak_key"))
     # only the row's key goes along with each word: what is carried is copied for each of them
-    each = rows.select("__key", F.posexplode(words_of(F.col("__text"))).alias("pos", "word"))
+    each = rows.select("__leak_key", F.posexplode(words_of(F.col("__text"))).alias("pos", "word"))
     start = F.col("pos") - F.col("at")
-    met = [each.join(F.broadcast(block), F.lower("word") == block["key"]).where(start >= 0).select("__key", F.struct(start.alias("start"), "window", "items").alias("__met")) for block in _blocks(windows, "window")]
-    met = reduce(DataFrame.unionByName, met).groupBy("__key").agg(F.collect_set("__met").alias("__met"))
-    rows = rows.join(met, "__key", "left").select(*keep, words_of(F.col("__text")).alias("__words"), "__met")
+    met = [each.join(F.broadcast(block), F.lower("word") == block["key"]).where(start >= 0).select("__leak_key", F.struct(start.alias("start"), "window", "items").alias("__met")) for block in _blocks(windows, "window")]
+    met = reduce(DataFrame.unionByName, met).groupBy("__leak_key").agg(F.collect_set("__met").alias("__met"))
+    rows = rows.join(met, "__leak_key").select("__leak_key", words_of(F.col("__text")).alias("__words"), "__met")
 
     def fits(m):
         there = F.slice("__words", m["start"] + 1, F.size(m["window"]))
         return (m["start"] + F.size(m["window"]) <= F.size("__words")) & (F.transform(there, ascii_lower) == m["window"])
 
-    rows = rows.select(*keep, F.size("__words").alias("n_words"), F.when(F.col("__met").isNotNull(), F.filter("__met", fits)).alias("__met"))
-    none = lambda col, like: F.coalesce(col, F.array().cast(like))
+    rows = cut(rows.select("__leak_key", F.filter("__met", fits).alias("__met")), "leaks-checked")
     hits = F.array_distinct(F.transform("__met", lambda m: F.struct(m["start"].alias("start"), F.size(m["window"]).alias("length"))))
     found = F.array_sort(F.array_distinct(F.flatten(F.transform("__met", lambda m: m["items"]))))
-    return rows.select(*keep, "n_words", none(hits, "array<struct<start:int,length:int>>").alias("hits"), none(found, "array<string>").alias("items"))
+    return rows.where(F.size("__met") > 0).select("__leak_key", hits.alias("__leak_hits"), found.alias("__leak_items")).dropDuplicates(["__leak_key"])
+
+
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns of docs, n_words, hits (array of start, length), items (array of ids as strings): one row
+    for each row of docs. A kept column with the name of one of these three is left out."""
+    keep = [k for k in keep if k not in ("n_words", "hits", "items")]
+    found = _checked(docs, items, width)
+    rows = docs.select(*keep, F.size(words_of(F.col("text"))).alias("n_words"), _row_key().alias("__leak_key")).join(found, "__leak_key", "left")
+    none = lambda col, like: F.coalesce(col, F.array().cast(like))
+    return rows.select(*keep, "n_words", none(F.col("__leak_hits"), "array<struct<start:int,length:int>>").alias("hits"), none(F.col("__leak_items"), "array<string>").alias("items"))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no window of any item."""
+    hit = _checked(docs, items, width).select("__leak_key")
+    return docs.withColumn("__leak_key", _row_key()).join(hit, "__leak_key", "left_anti").drop("__leak_key")
 
 
 def n_hit_words(hits: Column) -> Column:

@@ -154,6 +154,11 @@ def test_leaks(spark, docs, none):
     assert decontaminate.find_leaks(docs, items).count() == docs.count()
     assert decontaminate.find_leaks(none, items).count() == 0
     assert decontaminate.find_leaks(docs, items.where("item_id > 99")).where("size(hits) > 0").count() == 0
+    clash = docs.withColumn("hits", F.lit(1)).withColumn("items", F.lit("z")).withColumn("n_words", F.lit(2))
+    clean = decontaminate.without_leaks(clash, items)
+    assert clean.columns == clash.columns and clean.count() == docs.count() - 3 and {7, 8, 6}.isdisjoint(r.doc_id for r in clean.collect())
+    assert decontaminate.find_leaks(clash, items, keep=("doc_id", "hits", "lang")).columns == ["doc_id", "lang", "n_words", "hits", "items"]
+    assert decontaminate.without_leaks(none, items).count() == 0
 
 
 def test_shards(docs, none):
@@ -220,6 +225,36 @@ def test_search(docs, none):
     assert bm25.top_k(none, none).count() == 0
 
 
+def test_search_of_wordless_shards_and_repeated_queries(spark):
+    df = spark.createDataFrame([(0, "..."), (1, None), (20, "rare word"), (20, "rare word"), (3, "word and rare"), (4, "")], "doc_id long, text string")
+    got = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 6)) for r in bm25.top_k(df, df.where("doc_id % 20 = 0"), 3, shard_rows=1).collect()}
+    once = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 6)) for r in bm25.top_k(df, df.where("doc_id = 20").limit(1), 3, shard_rows=4).collect()}
+    assert got == once and [got[20, i][0] for i in (1, 2, 3)] == [20, 20, 3]
+    assert bm25.top_k(df.where("doc_id < 2"), df.where("doc_id < 2"), 3).count() == 0
+
+
+def test_search_prunes_blocks():
+    """One shard against brute force, with blocks left out."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'abcd'[i % 4]}{int(t)}" for t in rng.zipf(1.3, rng.integers(5, 80)) % 500) for i in range(2000)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array(np.zeros(2000, np.int32)), pa.array(texts)], ["id", "shard", "text"])
+    index = bm25.build(pa.Table.from_batches(list(bm25.deal(1)([batch]))))
+    shard = bm25.Shard(index["payload"][0].as_py(), 40.0)
+    counted = next(bm25.counted(pa.array(texts)))
+    doc, term, count = counted[2], counted[3], counted[4]
+    idf = {t: np.log(2000 / n) for t, n in zip(*np.unique(term, return_counts=True), strict=True)}
+    queries = [(term[doc == q], count[doc == q] * np.array([idf[t] for t in term[doc == q]])) for q in range(0, 2000, 50)]
+    norm = bm25.K1 * (1 - bm25.B + bm25.B * counted[5] / 40.0)
+    for (terms, weights), (ids, scores) in zip(queries, shard.search(queries, 10, np.zeros(len(queries))), strict=True):
+        w = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+        full = np.bincount(doc, weights=[w.get(t, 0.0) for t in term.tolist()] * (count * 2.2 / (count + norm[doc])), minlength=2000)
+        order = np.lexsort((np.arange(2000), -np.round(full, 9)))[:10]
+        assert ids.tolist() == order.tolist() and np.allclose(scores, full[order])
+    assert shard.scored < 0.6 * shard.blocks
+
+
 def test_toxicity(spark, none):
     rows = [(i, prose(30, 100 + i) + (" vilest" if i % 5 == 0 else ""), "en", "k", "w") for i in range(400)] + [(900, None, None, None, None), (901, "", "en", "k", "w")]
     df = spark.createDataFrame(rows, DOC)
