@@ -191,18 +191,118 @@ def test_language_model(docs, none):
     assert pitman_yor.score_texts(none, F.lit(True)).count() == 0
 
 
+def _seatings(c: int, pull: float, discount: float) -> np.ndarray:
+    s = pitman_yor.Stirling(discount, exact=c).table[c, 1:]
+    weight = s + np.arange(1, c + 1) * math.log(pull)
+    weight = np.exp(weight - weight.max())
+    return weight / weight.sum()
+
+
 def test_seating_matches_its_distribution():
-    level, rng = pitman_yor.Level(0.5, 1.0), np.random.default_rng(1)
-    n, base = 40_000, 0.2
-    drawn = pitman_yor.draw_tables(np.full(n, 3), np.zeros(n), np.full(n, base), level, rng)
-    s = {t: math.exp(pitman_yor.stirling(0.5)[3, t]) for t in (1, 2, 3)}
-    weight = {1: s[1] * 1.0 * base, 2: s[2] * 1.0 * 1.5 * base**2, 3: s[3] * 1.0 * 1.5 * 2.0 * base**3}
-    for t in (1, 2, 3):
-        assert abs((drawn == t).mean() - weight[t] / sum(weight.values())) < 0.01
+    s = np.exp(pitman_yor.Stirling(0.5).table[3])
     # partitions of three customers: sizes 3; 2+1 three ways; 1+1+1
     assert s[1] == pytest.approx(0.5 * 1.5) and s[2] == pytest.approx(3 * 0.5) and s[3] == pytest.approx(1)
-    big = pitman_yor.draw_tables(np.array([10_000]), np.zeros(1), np.array([0.3]), level, rng)
-    assert 1 <= big[0] <= 10_000
+    rng, n = np.random.default_rng(1), 40_000
+    base = 0.2
+    for c, pull in ((3, 0.7), (12, 2.0)):
+        drawn = pitman_yor.draw_tables(np.full(n, c), np.full(n, math.log(pull)), pitman_yor.Flat(math.log(base)), pitman_yor.Stirling(0.5), rng)
+        got = np.bincount(drawn, minlength=c + 1)[1:] / n
+        assert np.abs(got - _seatings(c, pull * base, 0.5)).sum() / 2 < 0.015
+
+
+def test_seating_of_many_customers():
+    """Beyond the exact table: total variation against exact numbers at 900 customers."""
+    for discount in (0.1, 0.3, 0.5, 0.7, 0.8):
+        numbers = pitman_yor.Stirling(discount)
+        for pull in (0.01, 0.3, 3.0, 30.0, 300.0):
+            weight = numbers.of(900, 900) + np.arange(1, 901) * math.log(pull)
+            weight = np.exp(weight - weight.max())
+            assert np.abs(weight / weight.sum() - _seatings(900, pull, discount)).sum() / 2 < 0.02, (discount, pull)
+
+
+def _direct_scores(texts: list[list], learned: list[bool], d: float, strength: float, root_strength: float, sweeps: int, burn: int) -> np.ndarray:
+    """Gibbs over single customers, all tables kept apart: mean predictive probabilities, log10 by text.
+    The parent's discount is estimated as the operator does, from its customers of one and two."""
+    rng = random.Random(3)
+    vocabulary = {w for t, on in zip(texts, learned, strict=True) if on for w in t}
+    pairs = [(c, w) for t, on in zip(texts, learned, strict=True) if on for c, w in zip(["<"] + t[:-1], t, strict=True)]
+    rooms: dict = {}
+    root: dict = {w: [] for w in vocabulary}
+    d0 = 0.5
+
+    def back(w):
+        own = root.get(w, [])
+        n, t = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(own) - d0 * len(own) + (root_strength + d0 * t) / (len(vocabulary) + 1)) / (root_strength + n)
+
+    def draw(weights):
+        return rng.choices(range(len(weights)), weights)[0]
+
+    def add(tables: dict, w, discount, theta, base):
+        own, t = tables.setdefault(w, []), sum(map(len, tables.values()))
+        k = draw([x - discount for x in own] + [(theta + discount * t) * base])
+        if k < len(own):
+            own[k] += 1
+            return False
+        own.append(1)
+        return True
+
+    def remove(tables: dict, w):
+        own = tables[w]
+        k = draw(own)
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            return True
+        return False
+
+    def seat(c, w):
+        if add(rooms.setdefault(c, {}), w, d, strength, back(w)):
+            add(root, w, d0, root_strength, 1 / (len(vocabulary) + 1))
+
+    for c, w in pairs:
+        seat(c, w)
+    want = sorted({(c, w) for t in texts for c, w in zip(["<"] + t[:-1], t, strict=True)})
+    sums = dict.fromkeys(want, 0.0)
+    for number in range(sweeps):
+        for c, w in pairs:
+            if remove(rooms[c], w):
+                remove(root, w)
+            seat(c, w)
+        sizes = [sum(x) for x in root.values()]
+        d0 = pitman_yor._discount(sizes.count(1), sizes.count(2))
+        if number >= burn:
+            for c, w in want:
+                room = rooms.get(c, {})
+                own, n, t = room.get(w, []), sum(map(sum, room.values())), sum(map(len, room.values()))
+                sums[c, w] += (sum(own) - d * len(own) + (strength + d * t) * back(w)) / (strength + n)
+    return np.array([sum(math.log10(sums[c, w] / (sweeps - burn)) for c, w in zip(["<"] + t[:-1], t, strict=True)) for t in texts])
+
+
+def test_language_model_against_a_direct_sampler(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(VOCABULARY[:12], [1 / (i + 1) for i in range(12)], k=rng.randint(3, 30))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [[*t.lower().split(), ">"] for t in texts]
+    learned = [i % 4 != 1 for i in range(40)]
+    count = Counter((c, w) for t, on in zip(words, learned, strict=True) if on for c, w in zip(["<"] + t[:-1], t, strict=True))
+    d = pitman_yor._discount(sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values()))
+    want = _direct_scores(words, learned, d, pitman_yor.STRENGTH, pitman_yor.STRENGTH_ROOT, 300, 60)
+    got = {r.doc_id: r.score for r in pitman_yor.score_texts(df, F.col("doc_id") % 4 != 1, samples=4).collect()}
+    gap = np.array([got[i] for i in range(40)]) - want
+    assert np.abs(gap / [len(t) for t in words]).max() < 0.02, gap
+
+
+def test_language_model_in_many_buckets(spark, monkeypatch):
+    """Small buckets, batches and tables: split contexts, fat pairs, words without a code."""
+    texts = [prose(60, 700 + i % 50) + " the same pair the same pair" for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r for r in pitman_yor.score_texts(df, F.col("doc_id") % 7 != 2).collect()}
+    for name, value in (("BUCKET_TOKENS", 3000), ("FLUSH_WORDS", 4000), ("FAT", 8)):
+        monkeypatch.setattr(pitman_yor, name, value)
+    parts = {r.doc_id: r for r in pitman_yor.score_texts(df, F.col("doc_id") % 7 != 2).collect()}
+    assert len(parts) == 300 and all((parts[i].n_tokens, parts[i].n_known) == (whole[i].n_tokens, whole[i].n_known) for i in whole)
+    assert all(abs(parts[i].base_score - whole[i].base_score) < 1e-6 and abs(parts[i].score - whole[i].score) < 0.03 * abs(whole[i].score) for i in whole)
 
 
 def test_search(docs, none):
