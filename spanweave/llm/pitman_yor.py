@@ -53,15 +53,16 @@ from .common import cut, shuffle_partitions
 from .text_arrays import SPACED, chunks, mix
 
 FLUSH_WORDS = 1_200_000
-BUCKET_TOKENS = 800_000
-COMMON = 1 << 16
+BUCKET_TOKENS = 1_200_000
+#: Words with a code, at most; each code and place of a word in a bucket takes WIDE bits at most.
+COMMON, WIDE = 1 << 18, 26
 FAT = 64
 BEGIN, END = np.uint64(1), np.uint64(2)
 EXACT = 400
 BURN_IN, SAMPLES, SWEEPS, PARTS = 2, 2, 5, 4
 STRENGTH_ROOT, STRENGTH = 10.0, 1.0
 #: Sums cross the network as whole numbers of these units.
-BASE_UNIT, SCORE_UNIT = 2.0**-30, 2.0**-26
+BASE_UNIT, SCORE_UNIT = 2.0**-26, 2.0**-20
 
 
 @dataclass
@@ -76,6 +77,16 @@ def ints(values: np.ndarray) -> np.ndarray:
     return planes(values, max(1, (int(values.max(initial=0)).bit_length() + 7) // 8))
 
 
+def steps_of(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pairs in order of c and w, by their distances."""
+    return ints(np.diff((c.astype(np.int64) << WIDE) | w, prepend=0))
+
+
+def pairs_of(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.cumsum(from_planes(steps).astype(np.int64) if steps.ndim == 2 else steps)
+    return both >> WIDE, both & ((1 << WIDE) - 1)
+
+
 def tokens(batches):
     """(keys, train, document, context, word) of some documents; each ends in an end token."""
     for batch in batches:
@@ -149,7 +160,7 @@ def deal(n_buckets: int, common: np.ndarray, hot: np.ndarray):
                 own = slice(pair[p], pair[p] + size[p])
                 yield FATS, batch % n_buckets, pair_key(hash_of(c[pair[p]]), hash_of(w[pair[p]])), batch, pack(ints(d[own]), ints(times[own]))
             thin = ~np.repeat(fat, size)
-            yield PACKED, int(b), batch, None, pack(planes(table, 8), ints(np.diff(c[pair], prepend=0)), ints(w[pair]), ints(learned), ints(np.where(fat, 0, size)), fat, ints(d[thin]), ints(times[thin]))
+            yield PACKED, int(b), batch, None, pack(planes(table, 8), steps_of(c[pair], w[pair]), ints(learned), ints(np.where(fat, 0, size)), fat, ints(d[thin]), ints(times[thin]))
 
     def run(batches):
         # the scan's partition and the batch's number in it: the same when a lost task runs again
@@ -185,7 +196,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
 
 
-STATE, SEATS, ASK, HOT, TOTAL, COUNTS, PARENT, TABLES, DIRECTORY = range(9)
+STATE, SEATS, ASK, HOT, TOTAL, COUNTS, PARENT, TABLES, DIRECTORY, LISTED, KEPT = range(11)
 
 
 def build(n_buckets: int, common: np.ndarray, hot: np.ndarray):
@@ -193,10 +204,15 @@ def build(n_buckets: int, common: np.ndarray, hot: np.ndarray):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
+        apart = table.filter(pa.compute.not_equal(table["kind"], PACKED)).select(["kind", "id", "n", "payload"])
+        passed = [({DOCS: LISTED, FATS: KEPT}[k], bucket, None, p, i, m, None) for k, i, m, p in zip(*(apart[c].to_pylist() for c in ("kind", "id", "n", "payload")), strict=True)]
+        table = table.filter(pa.compute.equal(table["kind"], PACKED))
+        if not len(table):
+            return _rows(passed)
         batches = table["id"].to_numpy()
         parts = [unpack(b.as_py()) for b in table["payload"]]
         tables = [from_planes(p[0]) for p in parts]
-        coded = [(np.cumsum(from_planes(p[1]).astype(np.int64)), from_planes(p[2]).astype(np.int64)) for p in parts]
+        coded = [pairs_of(p[1]) for p in parts]
         used = np.zeros(COMMON, bool)
         for x in coded:
             for codes in x:
@@ -205,13 +221,16 @@ def build(n_buckets: int, common: np.ndarray, hot: np.ndarray):
         words = words[np.lexsort((words, words % np.uint64(n_buckets)))]
         sort = np.argsort(words)
         where = lambda x: sort[np.minimum(np.searchsorted(words, x, sorter=sort), len(words) - 1)]
-        shared = np.zeros(COMMON, np.int64)
-        shared[: len(common)] = where(common)
-        places = [np.concatenate([shared, where(t)]) for t in tables]
-        c, w = (np.concatenate([place[x[i]] for place, x in zip(places, coded, strict=True)]) for i in (0, 1))
-        learned, size = (np.concatenate([from_planes(p[i]).astype(np.int64) for p in parts]) for i in (3, 4))
-        fat = np.concatenate([p[5] for p in parts])
-        d, times = (np.concatenate([from_planes(p[i]).astype(np.int64) for p in parts]) for i in (6, 7))
+        shared = np.append(where(common), 0) if len(common) else np.zeros(1, np.int64)
+
+        def places(codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+            return np.where(codes < COMMON, shared[np.minimum(codes, len(shared) - 1)], own[np.maximum(codes - COMMON, 0)])
+
+        found = [(places(c, own), places(w, own)) for (c, w), own in ((x, np.append(where(t), 0)) for x, t in zip(coded, tables, strict=True))]
+        c, w = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        learned, size = (np.concatenate([from_planes(p[i]).astype(np.int64) for p in parts]) for i in (2, 3))
+        fat = np.concatenate([p[4] for p in parts])
+        d, times = (np.concatenate([from_planes(p[i]).astype(np.int64) for p in parts]) for i in (5, 6))
         part = np.repeat(np.arange(len(parts)), [len(x[0]) for x in coded])
         both = c * len(words) + w
         order = np.lexsort((part, both))
@@ -234,7 +253,7 @@ def build(n_buckets: int, common: np.ndarray, hot: np.ndarray):
         ask = np.flatnonzero(count(pair_w) > 0)
         word_count, word_tables = count(pair_w, learned), count(pair_w[known])
         names = np.array([pair_key(words[i], words[j]) for i, j in zip(pair_c[fat], pair_w[fat], strict=True)], np.int64)
-        rows = [(STATE, bucket, None, pack(ints(np.diff(pair_c, prepend=0)), ints(pair_w), ints(learned), ints(size), ints(d), ints(times), ints(source), batches, ints(ask), ints(customers), is_hot, words[is_hot], np.flatnonzero(fat), names), None, None, None)]
+        rows = [*passed, (STATE, bucket, None, pack(steps_of(pair_c, pair_w), ints(learned), ints(size), ints(d), ints(times), ints(source), batches, ints(ask), ints(customers), is_hot, words[is_hot], np.flatnonzero(fat), names), None, None, None)]
         rows.append((SEATS, bucket, None, pack(pair_c[many].astype(np.uint32), pair_w[many].astype(np.uint32), learned[many].astype(np.uint32), ints(count(pair_c[ones])), ints(count(pair_w[ones])), (words % np.uint64(n_buckets)).astype(np.uint32), ask.astype(np.uint32), is_hot, words[is_hot]), None, None, None))
         peer = (words[ask] % np.uint64(n_buckets)).astype(np.int64)
         edges = np.searchsorted(peer, np.arange(n_buckets + 1))
@@ -456,8 +475,8 @@ def score(level: Level, roots: dict[int, Root], hots: dict[int, dict[int, tuple[
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = state["bucket"][0].as_py()
-        steps, w, learned, size, d, times, source, batches, ask, customers, is_hot, hot_words, fat, names = (from_planes(x).astype(np.int64) if x.ndim == 2 else x for x in unpack(state["payload"][0].as_py()))
-        c, n = np.cumsum(steps), len(customers)
+        steps, learned, size, d, times, source, batches, ask, customers, is_hot, hot_words, fat, names = (from_planes(x).astype(np.int64) if x.ndim == 2 else x for x in unpack(state["payload"][0].as_py()))
+        (c, w), n = pairs_of(steps), len(customers)
         known = np.zeros(n, np.int64)
         known[ask] = _answers(answers, COUNTS)[0][1][0]
         parents, tables_of = dict(_answers(answers, PARENT)), dict(_answers(answers, TABLES))
@@ -553,9 +572,9 @@ def score_texts(docs: DataFrame, train, burn_in: int = BURN_IN, samples: int = S
     top = seen.where("context <> -1").orderBy(F.desc("n"), "context").limit(COMMON).toArrow()  # bounded
     names, often = top["context"].to_numpy().view(np.uint64), top["n"].to_numpy()
     common, hot_words = np.sort(names), np.sort(names[often * (4 * n) >= tokens_seen])
-    dealt = cut(parts.mapInArrow(deal(n, common, hot_words), DEALT), "lm-dealt")
+    dealt = parts.mapInArrow(deal(n, common, hot_words), DEALT)
     buckets = min(n, shuffle_partitions(spark))
-    held_name, held = _bucketed(dealt.where(F.col("kind") == PACKED).groupBy("bucket").applyInArrow(build(n, common, hot_words), ROWS), buckets)
+    held_name, held = _bucketed(dealt.groupBy("bucket").applyInArrow(build(n, common, hot_words), ROWS), buckets)
     kind = lambda df, k: df.where(F.col("kind") == k)
     level = Level(_discount(*kind(held, TOTAL).agg(F.sum("n"), F.sum("t")).first()), STRENGTH)
     split = kind(held, HOT).groupBy("id").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
@@ -586,9 +605,9 @@ def score_texts(docs: DataFrame, train, burn_in: int = BURN_IN, samples: int = S
         hot = {r["id"]: (customers_of[r["id"]], r["t"]) for r in kind(seated, HOT).groupBy("id").agg(F.sum("t").alias("t")).collect()}
         told, tables = kind(seated, ASK).select("peer", "bucket", "payload"), kind(seated, TABLES)
     scored = cut(state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score(level, roots, hots, n, seed), SUMS), "lm-scores")
-    fats = dealt.where(F.col("kind") == FATS).select("id", "n", "payload").join(scored.where(F.col("kind") == FATS).select("id", "known", "log_count", "log_score"), "id")
+    fats = kind(held, KEPT).select("id", "n", "payload").join(scored.where(F.col("kind") == FATS).select("id", "known", "log_count", "log_score"), "id")
     sums = scored.where(F.col("kind") == PACKED).unionByName(fats.mapInArrow(fat_sums(n), SUMS)).select("bucket", "id", "payload")
-    listed = dealt.where(F.col("kind") == DOCS).select("bucket", "id", "payload")
+    listed = kind(held, LISTED).select("bucket", "id", "payload")
     sums = listed.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(total, "key long, n_tokens long, n_known long, log_counts double, score double")
     sums = cut(sums.dropDuplicates(["key"]), "lm-sums")  # equal rows have equal sums
     for name in (held_name, lists_name):
