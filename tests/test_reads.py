@@ -72,15 +72,18 @@ def test_cascade():
     left, right = iso.Iso((1, 0, 1, 1, 0, 0, 0)), iso.Iso((0, 0, 1, 1, 1, 0, 1))
     out = {(x.path, x.label) for x in iso.assemble([full, left, right], GENE)}
     assert (full.path, "F") in out and ((1, 0, 1, 1, 1, 0, 1), "M") in out
-    wrong = iso.Iso((1, 0, 1, 0, 0, 0, 1))
-    assert iso.rescue(iso.Iso(iso.mark_errors(wrong.path, GENE)), [full]).path == full.path
-    assert all(x.label == "P" for x in iso.fill_gaps(iso.Iso((0, 0, 1, 0, 1, 0, 0)), GENE))
+    assert len({p for p, _ in out}) == len(out)
+    assert {x.path for x in iso.predict(iso.Iso((0, 0, 1, 0, 1, 0, 0)), GENE)} == {(1, 0, 1, 0, 1, 0, 1), (1, 1, 1, 0, 1, 0, 1), (1, 0, 1, 0, 1, 1, 1), (1, 1, 1, 0, 1, 1, 1)}
 
 
 def test_grouped_steps(spark):
-    rows = [("g", "read", [1, 0, 1, 0, 1, 0, 1], 0, 0, 2, 7, "+"), ("g", "start", None, 0, 0, 0, 7, "+"), ("g", "stop", None, 6, 6, 0, 7, "+")]
-    rows += [("g", "intron", None, i, i, 0, 7, "+") for i in (1, 3, 5)]
-    df = spark.createDataFrame(rows, "gene string, kind string, path array<int>, first int, last int, fl long, n_segs int, strand string")
-    assert [(r.label, r.fl) for r in paths.assemble(df, ["gene"]).collect()] == [("F", 2)]
+    path = [1, 0, 1, 0, 1, 0, 1]
+    rows = [("g", "read", path, path, path, 0, 0, 2, 7, "+", 0, 0), ("g", "start", None, None, None, 0, 0, 0, 7, "+", 0, 0), ("g", "stop", None, None, None, 6, 6, 0, 7, "+", 0, 0)]
+    rows += [("g", kind, None, None, None, i, i, 0, 7, "+", 0, 4) for i in (1, 3, 5) for kind in ("intron", "link")]
+    df = spark.createDataFrame(rows, "gene string, kind string, path array<int>, covers_first array<int>, covers_last array<int>, first int, last int, fl long, n_segs int, strand string, sample int, n int")
+    assert [(r.label, r.fl, r.cluster) for r in paths.assemble(df, ["gene"]).collect()] == [("F", 2, 1)]
+    found = paths.assemble(df, ["gene"]).selectExpr("'c' AS chrom", "'+' AS strand", "gene", "path", "label", "fl", "cluster")
+    segs = spark.createDataFrame([("c", "+", "g", i, 10 * i, 10 * i + 10) for i in range(7)], "chrom string, strand string, gene string, seg_idx int, start long, end long")
+    assert paths.isoform_lines(found, segs, ["chrom", "strand", "gene"], "gene", ["path"]).first().line == "c\t0\t70\tg_g_1_isoF_1\t0\t+\t0\t0\t0,0,0\t4\t10,10,10,10,\t0,20,40,60,"
     tagged = paths.tag(spark.createDataFrame([([0, 1, 0, 1, 0],), ([0, -2, 0],)], "segary array<int>"))
     assert [(r.sidx, r.eidx, r.invalid) for r in tagged.collect()] == [(1, 3, False), (None, None, True)]
