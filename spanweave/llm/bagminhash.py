@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 from .components import components, open_members, stars
 from .text_arrays import SPACED, Words, chunks, gram_hashes, mix
 
@@ -278,6 +278,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group, that of the least doc_id (then the least row key)."""
-    found = near_duplicates(docs, similarity)
-    kept = found.groupBy("label").agg(F.min(F.struct("doc_id", "key"))["key"].alias("__key")).select("__key")
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(kept, "__key").dropDuplicates(["__key"]).drop("__key")
+    found, key = near_duplicates(docs, similarity), unused(docs, "__key")
+    kept = found.groupBy("label").agg(F.min(F.struct("doc_id", "key"))["key"].alias(key)).select(key)
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(kept, key).dropDuplicates([key]).select(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_dir
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "shared_dir", "shuffle_partitions", "table", "unused"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -24,3 +24,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

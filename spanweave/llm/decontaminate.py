@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, unused
 
 WIDTH = 10
 BLOCK = 1_000_000
@@ -100,8 +100,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: tupl
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs, all columns as they are, that hold no window of any item."""
-    hit = _checked(docs, items, width).select("__leak_key")
-    return docs.withColumn("__leak_key", _row_key()).join(hit, "__leak_key", "left_anti").drop("__leak_key")
+    key = unused(docs, "__leak_key")
+    hit = _checked(docs, items, width).select(F.col("__leak_key").alias(key))
+    return docs.withColumn(key, _row_key()).join(hit, key, "left_anti").select(*docs.columns)
 
 
 def n_hit_words(hits: Column) -> Column:
