@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bm25, decontaminate, lines, pieces, pitman_yor, shards, substrings, toxicity, url_filters
+from . import bagminhash, bm25, decontaminate, lines, merkle, pieces, pitman_yor, shards, spelling, subspaces, substrings, toxicity, url_filters
 from .common import table
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -156,9 +156,101 @@ FROM v
 """
 
 
+#: The fields that a leaf hashes.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id is tampered with in no case."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = merkle.leaf(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in LEAF))
+    proved = merkle.manifest(docs, LEAF, "lang", "doc_id", doc_id=F.col("doc_id"), tampered=F.when(changed, tampered))
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = proved.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_CRC_TABLE = "(SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY b) FROM range(256) r(b))"
+
+
+def _crc32(text: str, crc: str = "crc") -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes; crc: a list of the 256 table entries."""
+    pairs = f"regexp_extract_all(hex(encode({text})), '..')"
+    byte = "16 * (instr('0123456789ABCDEF', p[1]) - 1) + instr('0123456789ABCDEF', p[2]) - 1"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform({pairs}, lambda p: CAST({byte} AS BIGINT))), lambda x, y: xor({crc}[(xor(x, y) & 255) + 1], x >> 8)), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = (f"CAST({n_chars if c == 'n_chars' else c} AS VARCHAR)" for c in LEAF)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} crc),
+d AS (SELECT doc_id, coalesce('=' || lang, '') tree, {_leaf_sql("n_chars")} leaf, {_leaf_sql("n_chars + 1")} other,
+             coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) changed FROM documents, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 slot FROM d),
+up AS (SELECT 0 level, tree, slot, leaf node FROM r
+  UNION ALL SELECT any_value(level) + 1, tree, slot // 2, sha256(string_agg(node, '' ORDER BY slot)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) n FROM up) WHERE n > 1 GROUP BY tree, slot // 2),
+subs AS (SELECT tree, arg_max(node, level) subroot, max(level) height FROM up GROUP BY tree),
+s AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 slot FROM subs),
+top AS (SELECT 0 level, slot, subroot node FROM s
+  UNION ALL SELECT any_value(level) + 1, slot // 2, sha256(string_agg(node, '' ORDER BY slot)) FROM (SELECT *, count(*) OVER () n FROM top) WHERE n > 1 GROUP BY slot // 2),
+whole AS (SELECT arg_max(node, level) root, max(level) height FROM top),
+steps AS (SELECT r.doc_id, r.tree, r.slot, l.level pos, ((r.slot >> l.level) & 1) side, n.node sib FROM r JOIN subs USING (tree) JOIN (SELECT CAST(range AS BIGINT) level FROM range(40)) l ON l.level < subs.height LEFT JOIN up n ON n.tree = r.tree AND n.level = l.level AND n.slot = xor(r.slot >> l.level, 1)
+  UNION ALL SELECT r.doc_id, r.tree, r.slot, s.height + l.level, ((s.slot >> l.level) & 1), n.node FROM r JOIN s USING (tree) CROSS JOIN whole JOIN (SELECT CAST(range AS BIGINT) level FROM range(40)) l ON l.level < whole.height LEFT JOIN top n ON n.level = l.level AND n.slot = xor(s.slot >> l.level, 1)),
+fold AS (SELECT tree, slot, 0 pos, CASE WHEN changed AND other IS NOT NULL THEN other ELSE leaf END node FROM r
+  UNION ALL SELECT fold.tree, fold.slot, fold.pos + 1, sha256(CASE WHEN side = 1 THEN coalesce(sib, '') || node ELSE node || coalesce(sib, '') END) FROM fold JOIN steps ON steps.tree = fold.tree AND steps.slot = fold.slot AND steps.pos = fold.pos),
+proof AS (SELECT tree, slot, sha256(coalesce(string_agg(sib, '' ORDER BY pos), '')) proof_sha256 FROM steps GROUP BY tree, slot),
+folded AS (SELECT tree, slot, arg_max(node, pos) folded_root FROM fold GROUP BY tree, slot)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) proof_sha256, folded_root, folded_root = root verified
+FROM r JOIN subs USING (tree) CROSS JOIN whole LEFT JOIN proof USING (tree, slot) JOIN folded USING (tree, slot)
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} crc),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), {UPPER_LOWER}) run FROM documents),
+counts AS (SELECT id, run, count(*) n FROM runs WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY id, run),
+hashed AS (SELECT run, n, {_crc32("id || ':' || run")} h FROM counts, crc),
+spelled AS (SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) n FROM spelled WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+cuts AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) short FROM (SELECT *, unnest(range(1, length(word) + 1)) i FROM v)),
+same AS (SELECT a.word, b.word near, b.n near_n FROM cuts a JOIN cuts b ON a.short = b.short AND a.i = b.i AND a.word <> b.word),
+less AS (SELECT DISTINCT a.word, b.word near, b.n near_n, a.n own_n FROM cuts a JOIN v b ON a.short = b.word),
+pairs AS (SELECT * FROM same UNION SELECT word, near, near_n FROM less UNION SELECT near, word, own_n FROM less),
+best AS (SELECT word, count(*) n_near, min(row(-near_n, near)) b FROM pairs GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) n_near, CASE WHEN -b[1] >= {spelling.RATIO} * n THEN b[2] END form, CASE WHEN -b[1] >= {spelling.RATIO} * n THEN -b[1] END form_n FROM v LEFT JOIN best USING (word)),
+steps AS (SELECT word, word last, 0 k FROM f UNION ALL SELECT steps.word, f.form, k + 1 FROM steps JOIN f ON f.word = steps.last WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(last, k) root FROM steps GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) n_near, CAST(form_n AS BIGINT) form_n FROM f JOIN roots USING (word)
+"""
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspaces.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+p AS (SELECT a.vec_id a, b.vec_id b FROM ok a JOIN ok b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT vec_id a, vec_id b FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+c AS (SELECT a vec_id, min(b) component_id FROM reach GROUP BY a),
+n AS (SELECT a vec_id, count(*) n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) n_links, component_id, vec_id = component_id kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_near_dedup, op3_substring_dedup, op4_bm25_search, op5_pieces, op6_sharding, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filters)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_near_dedup, op3_substring_dedup, op4_bm25_search, op5_pieces, op6_sharding, op7_line_dedup, op8_decontamination, op9_toxicity, op10_url_filters, op11_merkle, op12_spelling, op13_near_vectors)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_substring_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_url_filters": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_merkle": OP11_SQL, "op12_spelling": OP12_SQL, "op13_near_vectors": OP13_SQL}
