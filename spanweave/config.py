@@ -32,6 +32,9 @@ class Settings:
     minor_ratio: float = 0.5
     max_events: int = 50
     max_paths: int = 200
+    cluster_length: int = 20
+    density_rise: float = 4.0
+    cluster_reads: int = 5
 
 
 DEFAULT = Settings()
