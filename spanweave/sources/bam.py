@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import formats
+from .files import is_file, opened
 
 SPLIT = 32 << 20
 BATCH = 8 << 20
@@ -48,13 +49,8 @@ class Range(InputPartition):
     high: int
 
 
-def _opened(path: str):
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return system, name
-
-
 def _files(path: str) -> list[tuple[str, int]]:
-    system, name = _opened(path)
+    system, name = opened(path)
     info = system.get_file_info(name)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -74,7 +70,7 @@ class Blocks:
     """The blocks of a file from a position on, as (start, decompressed bytes)."""
 
     def __init__(self, path: str, at: int = 0):
-        system, name = _opened(path)
+        system, name = opened(path)
         self.file, self.at = system.open_input_file(name), at
         self.size = self.file.size()
 
@@ -278,8 +274,8 @@ def _owned(part: Range, region: tuple[str, int, int] | None, bases: bool, batch:
 
 def index_start(path: str, ref: int, start: int) -> int:
     """The first block that can hold a record over start, by the index beside the file; 0 without one."""
-    system, name = _opened(path)
-    name = next((n for n in (f"{name}.bai", f"{name[:-4]}.bai") if system.get_file_info(n).type == fs.FileType.File), None)
+    system, name = opened(path)
+    name = next((n for n in (f"{name}.bai", f"{name[:-4]}.bai") if is_file(system, n)), None)
     if name is None:
         return 0
     data = system.open_input_file(name).read()
