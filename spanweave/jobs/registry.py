@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import agreement_queries, cluster_queries, element_queries, gene_queries, interval_queries, isoform_queries, scan_queries, site_queries
+from . import agreement_queries, cluster_queries, discovery_queries, element_queries, gene_queries, interval_queries, isoform_queries, scan_queries, site_queries
 
-MODULES = (cluster_queries, interval_queries, element_queries, gene_queries, scan_queries, isoform_queries, site_queries, agreement_queries)
+MODULES = (cluster_queries, interval_queries, element_queries, gene_queries, scan_queries, isoform_queries, site_queries, agreement_queries, discovery_queries)
 
 
 def flagship(spark, sf_dir):
