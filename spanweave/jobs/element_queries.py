@@ -349,8 +349,25 @@ def q_path_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_clique_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal cliques of overlapping introns of each gene."""
-    return paths.overlap_cliques(_introns(spark, sf_dir), [*SITE, "gene"])
+    return iv.cliques(_introns(spark, sf_dir), [*SITE, "gene"])
 
 
-QUERIES = [q_clean_reads, q_library_flip, q_flip_then_clean, q_fl_regex, q_introns_from_blocks, q_cigar, q_flanked_junctions, q_junction_support, q_junction_support_paired, q_junction_filter_pass, q_junction_filter_fixpoint, q_psi_spliced, q_strand_vote, q_tss_exon_asof, q_tes_exon_asof, q_sites_in_gene, q_exon_enumeration, q_unused_junctions, q_txs_local_max, q_segments, q_element_seg_index, q_isoform_tag, q_runs, q_subpath_anti, q_seg_link_counts, q_intron_type, q_splice_priority, q_bed6, q_bed12, q_path_enum, q_clique_merge]
+Q_CLIQUE_MERGE = f"""WITH {ALN}, i AS (SELECT DISTINCT chrom, strand, donor // 1500 AS gene, donor AS s, acceptor AS e FROM aln),
+c AS (SELECT chrom, strand, gene, e, (SELECT max(s) FROM i o WHERE (o.chrom, o.strand, o.gene) = (x.chrom, x.strand, x.gene) AND o.s < x.e) AS s FROM (SELECT DISTINCT chrom, strand, gene, e FROM i) x),
+m AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM i o WHERE (o.chrom, o.strand, o.gene) = (c.chrom, c.strand, c.gene) AND c.s < o.e AND o.e < c.e))
+SELECT m.chrom, m.strand, m.gene, dense_rank() OVER (PARTITION BY m.chrom, m.strand, m.gene ORDER BY m.e) - 1 AS clique, m.s AS start, m.e AS "end", count(*) AS size FROM m JOIN i ON (i.chrom, i.strand, i.gene) = (m.chrom, m.strand, m.gene) AND i.s <= m.s AND i.e >= m.e GROUP BY m.chrom, m.strand, m.gene, m.s, m.e"""
+
+
+def q_clique_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Introns of a gene that are in the same maximal cliques: the first and the last of these, how many introns."""
+    found = iv.clique_runs(_introns(spark, sf_dir), [*SITE, "gene"])
+    return found.groupBy(*SITE, "gene", "first_clique", "last_clique").agg(F.count(F.lit(1)).alias("n"))
+
+
+Q_CLIQUE_GROUPS = f"""WITH k AS ({Q_CLIQUE_MERGE}), {ALN}, i AS (SELECT DISTINCT chrom, strand, donor // 1500 AS gene, donor AS s, acceptor AS e FROM aln),
+g AS (SELECT i.chrom, i.strand, i.gene, i.s, i.e, min(clique) AS first_clique, max(clique) AS last_clique FROM i JOIN k ON (k.chrom, k.strand, k.gene) = (i.chrom, i.strand, i.gene) AND k.start >= i.s AND k."end" <= i.e GROUP BY 1, 2, 3, 4, 5)
+SELECT chrom, strand, gene, first_clique, last_clique, count(*) AS n FROM g GROUP BY ALL"""
+
+
+QUERIES = [q_clean_reads, q_library_flip, q_flip_then_clean, q_fl_regex, q_introns_from_blocks, q_cigar, q_flanked_junctions, q_junction_support, q_junction_support_paired, q_junction_filter_pass, q_junction_filter_fixpoint, q_psi_spliced, q_strand_vote, q_tss_exon_asof, q_tes_exon_asof, q_sites_in_gene, q_exon_enumeration, q_unused_junctions, q_txs_local_max, q_segments, q_element_seg_index, q_isoform_tag, q_runs, q_subpath_anti, q_seg_link_counts, q_intron_type, q_splice_priority, q_bed6, q_bed12, q_path_enum, q_clique_merge, q_clique_groups]
 SQL = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES if f.__name__.upper() in globals()}

@@ -138,5 +138,36 @@ def q_isoform_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.isoform_lines(found, segments, GENE, "name", ["path"])
 
 
-QUERIES = [q_tagged_segments, q_projection, q_link_counts, q_intron_kinds, q_path_pairs, q_assemble, q_isoform_lines]
+def _segment_depth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Depth of each strand by sample, and the samples: reads of 150 bases."""
+    rows = _reads(spark, sf_dir)
+    pair = F.explode(F.array(F.struct(F.col("rs").alias("start"), F.col("donor").alias("end")), F.struct(F.col("acceptor").alias("start"), F.col("re").alias("end"))))
+    depth = iv.depth_runs(rows.select("chrom", "strand", "sample", pair.alias("b")).select("chrom", "strand", "sample", "b.*"), ["chrom", "strand", "sample"])
+    return depth, rows.groupBy("sample").agg(F.count(F.lit(1)).alias("mapped"), F.lit(150).alias("length"))
+
+
+def q_segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The depth over each segment, in reads of each sample."""
+    depth, samples = _segment_depth(spark, sf_dir)
+    found = sg.segment_counts(_segments(spark, sf_dir), depth, samples, GENE, ["chrom", "strand"])
+    return found.withColumn("count", F.round("count", 5))
+
+
+Q_SEGMENT_COUNTS = f"""{_BASE}, bl AS (SELECT chrom, strand, sample, rs AS s, donor AS e FROM r UNION ALL SELECT chrom, strand, sample, acceptor, re FROM r),
+sh AS (SELECT sg.chrom, sg.strand, sg.gene, seg_idx, sample, sum(least(e, stop) - greatest(s, start)) AS bases FROM sg JOIN bl ON bl.chrom = sg.chrom AND bl.strand = sg.strand AND s < stop AND start < e GROUP BY ALL)
+SELECT sg.chrom, sg.strand, sg.gene, sg.seg_idx, sm.sample, stop - start AS length, round(coalesce(bases, 0) / 150 + 1e-6::DOUBLE, 5) AS count FROM sg CROSS JOIN (SELECT DISTINCT sample FROM r) sm LEFT JOIN sh USING (chrom, strand, gene, seg_idx, sample)"""
+
+
+def q_segment_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of the expression of each segment in each sample (no SQL: beta quantiles)."""
+    depth, samples = _segment_depth(spark, sf_dir)
+    return sg.segment_expression(_segments(spark, sf_dir), depth, samples, GENE, ["chrom", "strand"])
+
+
+def q_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isoforms of each label (no SQL: the cascade)."""
+    return paths.label_counts(paths.assemble(assembly_rows(spark, sf_dir)[0], GENE), GENE)
+
+
+QUERIES = [q_segment_counts, q_segment_expression, q_label_counts, q_tagged_segments, q_projection, q_link_counts, q_intron_kinds, q_path_pairs, q_assemble, q_isoform_lines]
 SQL = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES if f.__name__.upper() in globals()}

@@ -125,3 +125,29 @@ def runs(df: DataFrame, by: list[str], index: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def _turns(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """by, pos, starts, done (cliques that are complete there or before), complete, since (the position before), open: the
+    borders of spans in order. A clique is complete where spans end after others began."""
+    borders = spans.where(F.col(start) < F.col(end)).select(*by, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("starts"), F.lit(0).alias("ends")), F.struct(F.col(end).alias("pos"), F.lit(0).alias("starts"), F.lit(1).alias("ends")))).alias("b"))
+    counted = borders.groupBy(*by, "b.pos").agg(F.sum("b.starts").alias("starts"), F.sum("b.ends").alias("ends"))
+    order = Window.partitionBy(*by).orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    complete = (F.col("ends") > 0) & (F.lag("starts").over(order) > 0)
+    rows = counted.withColumn("complete", complete).withColumn("since", F.lag("pos").over(order)).withColumn("open", F.sum(F.col("starts") - F.col("ends")).over(upto))
+    return rows.withColumn("done", F.sum(F.col("complete").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def cliques(spans: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """by, clique (from 0), start, end, size: the stretch that all spans of a maximal clique of overlap share."""
+    return _turns(spans, by, start, end).where("complete").select(*by, (F.col("done") - 1).alias("clique"), F.col("since").alias("start"), F.col("pos").alias("end"), F.col("open").alias("size"))
+
+
+def clique_runs(spans: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """spans with first_clique and last_clique. The cliques of a span follow each other, so that spans of equal first and
+    last ones are in the same cliques."""
+    turns = _turns(spans, by, start, end)
+    first = turns.where("starts > 0").select(*by, F.col("pos").alias(start), F.col("done").alias("first_clique"))
+    last = turns.where("ends > 0").select(*by, F.col("pos").alias(end), (F.col("done") - 1).alias("last_clique"))
+    return spans.join(first, [*by, start]).join(last, [*by, end])

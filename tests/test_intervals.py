@@ -1,11 +1,11 @@
 import random
 
+import numpy as np
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 
 from spanweave.functions import graphs, quantiles
 from spanweave.operators import intervals as iv
+from spanweave.operators import segments
 
 
 @pytest.mark.parametrize(
@@ -68,9 +68,35 @@ def test_runs_and_segments(spark):
 def test_quantiles():
     assert quantiles.poisson_inverse(6.55) == 13
     assert quantiles.poisson_inverse(0.0) == 0
-    assert abs(quantiles.beta_cdf(0.5, 2.0, 2.0) - 0.5) < 1e-9
-    assert abs(quantiles.beta_cdf(0.3, 2.0, 3.0) - 0.3483) < 1e-9
-    assert abs(quantiles.beta_inverse(0.3483, 2.0, 3.0) - 0.3) < 1e-9
+
+
+def test_beta_against_closed_forms():
+    x, n = np.array([1e-9, 0.01, 0.3, 0.5, 0.77, 0.999]), np.array([0.2, 1.0, 3.5, 40.0, 3000.0, 1e7])
+    assert np.allclose(quantiles.beta_cdf(x[:, None], 1.0, n), -np.expm1(n * np.log1p(-x[:, None])), rtol=1e-7)
+    assert np.allclose(quantiles.beta_cdf(x[:, None], n, 1.0), x[:, None] ** n, rtol=1e-7, atol=1e-300)
+    assert np.allclose(quantiles.beta_cdf(x, 2.0, 3.0), 6 * x**2 - 8 * x**3 + 3 * x**4)
+    assert np.allclose(quantiles.beta_cdf(x, 7.5, 90.0) + quantiles.beta_cdf(1 - x, 90.0, 7.5), 1)
+    assert np.allclose(quantiles.beta_cdf(0.5, n, n), 0.5)
+    for p in (0.01, 0.5, 0.99):
+        assert np.allclose(quantiles.beta_inverse(p, 1.0, n), -np.expm1(np.log1p(-p) / n), rtol=1e-7)
+        assert np.allclose(quantiles.beta_inverse(p, n, 1.0), p ** (1 / n), rtol=1e-7)
+        back = quantiles.beta_cdf(quantiles.beta_inverse(p, n, 20 * n), n, 20 * n)
+        assert np.allclose(back, p, rtol=1e-6)
+    assert quantiles.beta_cdf(np.array([-1.0, 0.0, 1.0, 2.0]), 2.0, 2.0).tolist() == [0, 0, 1, 1]
+    assert quantiles.beta_inverse(0.01, 1e-6, 100.0)[0] == 0 and np.isnan(quantiles.beta_inverse(0.5, 3.0, -1.0)[0])
+
+
+def test_expression_bounds(spark):
+    low, middle, high = quantiles.fpkm_bounds([10], [200], [1e6])[0]
+    assert low < middle < high and abs(middle - 10 / 1e6 * 1e9 / 200) < 2
+    by = ["chrom", "strand", "gene"]
+    segs = spark.createDataFrame([("c", "+", 1, 0, 100, 200), ("c", "+", 1, 1, 200, 250)], "chrom string, strand string, gene int, seg_idx int, start long, end long")
+    depth = spark.createDataFrame([("c", "+", 1, 150, 260, 6), ("c", "+", 1, 90, 110, 3), ("c", "-", 2, 100, 200, 9)], "chrom string, strand string, sample int, start long, end long, depth long")
+    samples = spark.createDataFrame([(1, 150, 1000), (2, 100, 2000)], "sample int, length int, mapped long")
+    got = {(r.seg_idx, r.sample): r for r in segments.segment_expression(segs, depth, samples, by, by[:2]).collect()}
+    assert {k: round(r["count"], 4) for k, r in got.items()} == {(0, 1): round(330 / 150, 4), (1, 1): 2.0, (0, 2): 0.0, (1, 2): 0.0}
+    assert all(r.low <= r.middle <= r.high for r in got.values())
+    assert abs(got[1, 1].middle - quantiles.beta_inverse(0.5, 2 + 1e-6, 998 - 1e-6)[0] * 1e9 / 50) < 1e-3
 
 
 def test_cliques():
@@ -79,11 +105,27 @@ def test_cliques():
     assert graphs.maximal_cliques(adjacent) == [(0, 1, 2), (0, 5), (2, 3), (3, 4), (4, 5), (6,)]
 
 
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=9))
-def test_interval_cliques_are_the_graphs(items):
-    spans = [(s, s + n) for s, n in items]
-    adjacent = {i: {j for j, (t, f) in enumerate(spans) if j != i and s < f and t < e} for i, (s, e) in enumerate(spans)}
-    assert sorted(graphs.interval_cliques(spans)) == (graphs.maximal_cliques(adjacent) if spans else [])
+def test_interval_cliques_are_the_graphs(spark):
+    rng, rows = random.Random(2), []
+    for gene in range(40):
+        rows += [(gene, i, s, s + rng.randint(1, 9)) for i, s in enumerate(rng.choices(range(25), k=rng.randint(1, 9)))]
+    df = spark.createDataFrame(rows, "gene int, i int, start long, end long")
+    common = {}
+    for r in iv.cliques(df, ["gene"]).collect():
+        common.setdefault(r.gene, []).append((r.start, r.end, r.size, r.clique))
+    groups = {}
+    for r in iv.clique_runs(df, ["gene"]).collect():
+        groups.setdefault((r.gene, r.first_clique, r.last_clique), set()).add(r.i)
+    for gene in range(40):
+        spans = {i: (s, e) for g, i, s, e in rows if g == gene}
+        adjacent = {i: {j for j, (t, f) in spans.items() if j != i and s < f and t < e} for i, (s, e) in spans.items()}
+        wanted = graphs.maximal_cliques(adjacent)
+        assert sorted(x[:3] for x in common[gene]) == sorted((max(spans[i][0] for i in c), min(spans[i][1] for i in c), len(c)) for c in wanted)
+        assert sorted(x[3] for x in common[gene]) == list(range(len(wanted)))
+        members = {}
+        for i in spans:
+            members.setdefault(tuple(i in c for c in wanted), set()).add(i)
+        assert sorted(map(sorted, members.values())) == sorted(sorted(v) for k, v in groups.items() if k[0] == gene)
 
 
 def test_junction_filter_depends_on_order():
