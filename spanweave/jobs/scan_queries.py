@@ -11,6 +11,8 @@ from ..config import DEFAULT
 from ..operators import elements as el
 from ..operators import intervals as iv
 from ..operators import reads, regions
+from ..sources import layout
+from ..storage import new_folder
 from .element_queries import _FLIPPED
 from .interval_queries import _islands_sql
 from .tables import ALN, aln
@@ -52,6 +54,17 @@ def q_region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q_REGION_SCAN = f"WITH {ALN}, {_R}, {_SPANS} SELECT g.chrom, start AS r_start, stop AS r_end, g.strand AS r_strand, {_FLIPPED} AS flag, CAST(sum(fl) AS BIGINT) AS fl FROM g JOIN r ON r.chrom = g.chrom AND rs < stop AND start < re GROUP BY 1, 2, 3, 4, 5"
 
 
+def q_stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads of a third of the regions, from reads stored by place."""
+    path = new_folder(spark, "stored-reads")
+    layout.write_reads(_reads(spark, sf_dir).select("chrom", "rs", "re", "strand", "fl", "name"), path, 1 << 12)
+    some = _spans(spark, sf_dir).where("gene % 3 = 0").select("chrom", "start", "end").distinct()
+    return layout.scan_stored(some, path).groupBy("chrom", "r_start", "r_end", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum("fl").alias("fl"))
+
+
+Q_STORED_SCAN = f"WITH {ALN}, {_R}, {_SPANS} SELECT g.chrom, g.start AS r_start, g.stop AS r_end, r.strand, count(*) AS n, CAST(sum(fl) AS BIGINT) AS fl FROM (SELECT DISTINCT chrom, start, stop FROM g WHERE gene % 3 = 0) g JOIN r ON r.chrom = g.chrom AND rs < stop AND start < re GROUP BY 1, 2, 3, 4"
+
+
 def q_region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean reads wholly inside each region widened by 60, on its strand."""
     wide = _spans(spark, sf_dir).withColumn("start", F.col("start") - 60).withColumn("end", F.col("end") + 60)
@@ -270,5 +283,5 @@ m AS (SELECT chrom, strand, gene, re, acceptor, s, e, CASE WHEN rs < s AND s < a
 SELECT chrom, strand, gene, d AS donor, CASE WHEN donor < e AND e < stop2 THEN e ELSE acceptor END AS acceptor, count(*) AS n FROM m GROUP BY 1, 2, 3, 4, 5"""
 
 
-QUERIES = [q_region_counts, q_region_scan, q_region_reads, q_mapped_numbers, q_sample_table, q_counted_bins, q_linkage_by_sample, q_depth_slices, q_site_votes, q_first_exons, q_last_exons, q_inner_exons, q_unused_borders, q_gap_by_sample, q_gene_sites, q_away_sites, q_genes_with_ends, q_sites_on_strand, q_moved_introns]
+QUERIES = [q_stored_scan, q_region_counts, q_region_scan, q_region_reads, q_mapped_numbers, q_sample_table, q_counted_bins, q_linkage_by_sample, q_depth_slices, q_site_votes, q_first_exons, q_last_exons, q_inner_exons, q_unused_borders, q_gap_by_sample, q_gene_sites, q_away_sites, q_genes_with_ends, q_sites_on_strand, q_moved_introns]
 SQL = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}
