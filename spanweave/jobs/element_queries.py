@@ -344,7 +344,16 @@ Q_BED12 = f"WITH {ALN} SELECT DISTINCT concat_ws(chr(9), chrom, rs, re, name, '0
 
 def q_path_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chains of nearest introns of each gene, or its status where there are too many."""
-    return paths.enumerate_paths(_introns(spark, sf_dir).where("n > 1"), [*SITE, "gene"])
+    found = paths.enumerate_paths(_introns(spark, sf_dir).where("n > 1"), [*SITE, "gene"])
+    return found.withColumn("path", F.array_join("path", " "))
+
+
+Q_PATH_ENUM = f"""WITH RECURSIVE {ALN}, i AS (SELECT chrom, strand, donor // 1500 AS gene, donor AS s, acceptor AS e FROM aln GROUP BY ALL HAVING count(*) > 1),
+f AS (SELECT i.*, (SELECT min(o.e) FROM i o WHERE (o.chrom, o.strand, o.gene) = (i.chrom, i.strand, i.gene) AND o.s >= i.e) AS next_end, min(e) OVER (PARTITION BY chrom, strand, gene) AS least FROM i),
+p AS (SELECT chrom, strand, gene, e, next_end, concat(s, ':', e) AS path FROM f WHERE s < least
+ UNION ALL SELECT p.chrom, p.strand, p.gene, f.e, f.next_end, concat(p.path, ' ', f.s, ':', f.e) FROM p JOIN f ON (f.chrom, f.strand, f.gene) = (p.chrom, p.strand, p.gene) AND f.s >= p.e AND f.s < p.next_end),
+w AS (SELECT *, count(*) OVER (PARTITION BY chrom, strand, gene) AS k FROM p WHERE next_end IS NULL)
+SELECT DISTINCT chrom, strand, gene, CASE WHEN k > 200 THEN 'too many' ELSE 'ok' END AS status, CASE WHEN k > 200 THEN '' ELSE path END AS path FROM w"""
 
 
 def q_clique_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
