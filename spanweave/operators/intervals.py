@@ -1,9 +1,9 @@
 """Intervals as DataFrames: merging, binning, depth, and joins by overlap or nearness.
 
 Intervals are half-open. ``by`` names the columns that part the data (a chromosome, a strand, a
-sample); start and end may be any numeric columns. Windows are ordered within ``by`` alone where
-that is the data's own grain; a sweep over a chromosome that is too large for one task is cut
-into tiles by ``tile`` where that does not change the result.
+sample); start and end may be any numeric columns. Sweeps over positions (depth, maxima, repeats, merging, nearest
+targets) run within tiles, which get what lies beyond them from a row for each tile, so that a long chromosome or a deep
+sample spreads. Segments and cliques are ordered within ``by`` alone: theirs is a gene.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions of a stretch that one task sweeps.
+TILE = 1 << 20
+
 
 def merge_intervals(df: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0, touching: bool = True) -> DataFrame:
     """Unite intervals that overlap, touch, or stand at most ``gap`` apart: by, start, end, n.
@@ -21,7 +24,7 @@ def merge_intervals(df: DataFrame, by: list[str], start: str = "start", end: str
     the start so that a hot group is reduced in parallel; a second pass unites the islands of
     neighbouring tiles."""
     counted = df.where(F.col(start) < F.col(end)).groupBy(*by, start, end).agg(F.count(F.lit(1)).alias("n"))
-    tile = F.floor(F.col(start) / F.lit(1 << 20))
+    tile = F.floor(F.col(start) / F.lit(TILE))
     first = _islands(counted.withColumn("__tile", tile), [*by, "__tile"], start, end, gap, touching)
     return _islands(first.select(*by, start, end, "n"), by, start, end, gap, touching)
 
@@ -42,19 +45,36 @@ def bin_counts(df: DataFrame, by: list[str], start: str, end: str, size: int, or
     return spans.select(*by, F.explode(F.sequence("lo", "hi")).alias("bin"), "n").groupBy(*by, "bin").agg(F.sum("n").alias("n"))
 
 
-def drop_repeats(df: DataFrame, by: list[str], order: list[str], same: list[str]) -> DataFrame:
-    """Drop a row whose ``same`` columns equal those of the row before it, in ``order``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    now, last = F.struct(*same), F.lag(F.struct(*same)).over(w)
-    return df.withColumn("__repeat", last.isNotNull() & now.eqNullSafe(last)).where("not __repeat").drop("__repeat")
+def drop_repeats(df: DataFrame, by: list[str], order: list[str], same: list[str], tile: int = TILE) -> DataFrame:
+    """Drop a row whose ``same`` columns equal those of the row before it, in ``order``. Tiles of the first order column
+    know the last row of the tile before them."""
+    tiled = df.withColumn("__tile", F.floor(F.col(order[0]) / tile))
+    key = F.struct(*same)
+    lasts = tiled.groupBy(*by, "__tile").agg(F.max_by(key, F.struct(*order)).alias("__last"))
+    before = lasts.select(*by, "__tile", F.lag("__last").over(Window.partitionBy(*by).orderBy("__tile")).alias("__carried"))
+    joined = null_safe_join(tiled, before, [*by, "__tile"])
+    last = F.coalesce(F.lag(key).over(Window.partitionBy(*by, "__tile").orderBy(*order)), F.col("__carried"))
+    return joined.withColumn("__repeat", last.isNotNull() & key.eqNullSafe(last)).where("not __repeat").drop("__repeat", "__tile", "__carried")
+
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left with right's other columns, equal nulls of the key columns meeting each other."""
+    named = right.select(*(F.col(c).alias(f"__r_{c}") for c in on), *(c for c in right.columns if c not in on))
+    condition = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on))
+    return left.join(named, condition).drop(*(f"__r_{c}" for c in on))
 
-def depth_runs(df: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Depth as runs: by, start, end, depth (above 0), from a sweep over starts and ends."""
+
+def depth_runs(df: DataFrame, by: list[str], start: str = "start", end: str = "end", tile: int = TILE) -> DataFrame:
+    """Depth as runs: by, start, end, depth (above 0), from a sweep over starts and ends. Each tile of positions is
+    swept by itself, from the depth that the tiles before it leave and up to where the next one begins."""
     steps = df.select(*by, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("step")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("step")))).alias("e"))
-    steps = steps.groupBy(*by, "e.pos").agg(F.sum("e.step").alias("step")).where("step <> 0")
-    w = Window.partitionBy(*by).orderBy("pos")
-    runs = steps.select(*by, F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    steps = steps.groupBy(*by, "e.pos").agg(F.sum("e.step").alias("step")).where("step <> 0").withColumn("__tile", F.floor(F.col("pos") / tile))
+    sums = steps.groupBy(*by, "__tile").agg(F.sum("step").alias("__net"), F.min("pos").alias("__first"))
+    over = Window.partitionBy(*by).orderBy("__tile")
+    sums = sums.select(*by, "__tile", F.coalesce(F.sum("__net").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__carried"), F.lead("__first").over(over).alias("__next"))
+    w = Window.partitionBy(*by, "__tile").orderBy("pos")
+    depth = F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__carried")
+    runs = null_safe_join(steps, sums, [*by, "__tile"]).select(*by, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(w), F.col("__next")).alias("end"), depth.alias("depth"))
     return runs.where("depth > 0")
 
 
@@ -94,12 +114,17 @@ def nearest_before(sites: DataFrame, targets: DataFrame, by: list[str], low: int
     return found.select(*by, (-F.col(pos)).alias(pos), (-F.col("target")).alias("target"))
 
 
-def local_maxima(df: DataFrame, by: list[str], pos: str, value: str, reach: int) -> DataFrame:
-    """Rows whose value is the greatest within reach on both sides, the leftmost of equals."""
-    w = Window.partitionBy(*by).orderBy(pos)
+def local_maxima(df: DataFrame, by: list[str], pos: str, value: str, reach: int, tile: int = TILE) -> DataFrame:
+    """Rows whose value is the greatest within reach on both sides, the leftmost of equals. A tile sees the rows within
+    reach of it too."""
+    size = max(tile, reach, 1)
+    home = F.floor(F.col(pos) / size)
+    halo = df.withColumn("__home", home).withColumn("__tile", F.explode(F.array_distinct(F.array(home, F.floor((F.col(pos) - reach) / size), F.floor((F.col(pos) + reach) / size)))))
+    w = Window.partitionBy(*by, "__tile").orderBy(pos)
     top = F.max(value).over(w.rangeBetween(-reach, reach))
     earlier = F.max(value).over(w.rangeBetween(-reach, -1))
-    return df.withColumn("__top", top).withColumn("__earlier", earlier).where((F.col(value) == F.col("__top")) & (F.col("__earlier").isNull() | (F.col("__earlier") < F.col(value)))).drop("__top", "__earlier")
+    found = halo.withColumn("__top", top).withColumn("__earlier", earlier).where("__home = __tile")
+    return found.where((F.col(value) == F.col("__top")) & (F.col("__earlier").isNull() | (F.col("__earlier") < F.col(value)))).drop("__top", "__earlier", "__home", "__tile")
 
 
 def segments(bounds: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:

@@ -138,3 +138,21 @@ def test_junction_filter_depends_on_order():
 def test_chains():
     assert graphs.chains([(0, 10), (5, 12), (20, 30)], 50, 200) == [(0, 2), (1, 2)]
     assert graphs.chains([(i, i + 1) for i in range(60)], 50, 200) is None
+
+
+def test_sweeps_do_not_depend_on_tiles(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), s := rng.randrange(300), s + rng.choice([1, 5, 60]), rng.randrange(4)) for _ in range(250)]
+    df = spark.createDataFrame(rows, "g string, start long, end long, v int")
+    plain = lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
+    sums = df.groupBy("g", "start").agg({"v": "sum"}).withColumnRenamed("sum(v)", "v")
+    for tile in (3, 17, 100):
+        assert plain(iv.depth_runs(df, ["g"], tile=tile)) == plain(iv.depth_runs(df, ["g"]))
+        assert plain(iv.local_maxima(sums, ["g"], "start", "v", 4, tile=tile)) == plain(iv.local_maxima(sums, ["g"], "start", "v", 4))
+        assert plain(iv.drop_repeats(df, ["g"], ["start", "v", "end"], ["start", "v"], tile=tile)) == plain(iv.drop_repeats(df, ["g"], ["start", "v", "end"], ["start", "v"]))
+    depth = {}
+    for r in iv.depth_runs(df, ["g"], tile=17).collect():
+        depth |= {(r.g, p): r.depth for p in range(r.start, r.end)}
+    for g in ("a", "b", None):
+        for p in range(370):
+            assert depth.get((g, p), 0) == sum(x[0] == g and x[1] <= p < x[2] for x in rows)
