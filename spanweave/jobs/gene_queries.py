@@ -66,7 +66,7 @@ Q_LONE_SITES = f"WITH {ALN}, s AS (SELECT DISTINCT chrom, strand, re AS pos FROM
 
 
 def q_extreme_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known starts of a gene (those with two reads or more), and its first read start where that
+    """Known starts of a gene (those with an evidence of 30 or more), and its first read start where that
     stands 20 bases or more before them, or where none is known."""
     starts = aln(spark, sf_dir).groupBy(*SITE, F.expr("donor div 1500").alias("gene"), F.col("rs").alias("pos")).agg(F.sum("fl").alias("fl"))
     known = starts.where("fl >= 30").select(*SITE, "gene", "pos")

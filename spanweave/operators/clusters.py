@@ -32,6 +32,10 @@ def mapping_lines(members: DataFrame) -> DataFrame:
 
 
 def span_lines(members: DataFrame) -> DataFrame:
-    """line: BED6 of each cluster's span, its number of genes as score. members: cluster, name, chrom, strand, start, end."""
-    rows = members.groupBy("cluster", "chrom", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("name").alias("n"))
+    """line: BED6 of each cluster's span, its number of genes as score. members: cluster, name, chrom, strand, start, end.
+    A cluster with genes of several chromosomes or strands is an error when the table is computed."""
+    place = F.struct("chrom", "strand")
+    rows = members.groupBy("cluster").agg(F.min(place).alias("place"), F.max(place).alias("other"), F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("name").alias("n"))
+    split = F.raise_error(F.concat(F.lit("on several chromosomes or strands: "), F.col("cluster").cast("string"))).cast("string")
+    rows = rows.withColumn("chrom", F.when(F.col("place").eqNullSafe(F.col("other")), F.col("place.chrom")).otherwise(split)).withColumn("strand", F.col("place.strand"))
     return rows.select(F.concat_ws("\t", "chrom", "start", "end", "cluster", F.col("n").cast("string"), "strand").alias("line"))

@@ -17,6 +17,9 @@ def test_assignment(spark):
         clusters.listed_genes(listed, genes).collect()
     rows = spark.createDataFrame([("a", "g1", "c", "+", 5, 50), ("a", "g4", "c", "+", 1, 9)], "cluster string, name string, chrom string, strand string, start long, end long")
     assert clusters.span_lines(rows).first().line == "c\t1\t50\ta\t2\t+"
+    for other in (("a", "g2", "d", "+", 5, 50), ("a", "g2", "c", "-", 5, 50)):
+        with pytest.raises(Exception, match="several chromosomes or strands: a"):
+            clusters.span_lines(rows.unionByName(spark.createDataFrame([other], rows.schema))).collect()
 
 
 def test_outputs(spark, tmp_path):
