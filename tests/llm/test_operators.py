@@ -378,3 +378,20 @@ def test_urls(spark):
     assert [got[i].verdict for i in (0, 1, 2, 9)] == ["allow", "block", "block", "allow"]
     assert {r.verdict for r in url_filters.judge_urls(pages, outcomes.where("page_id > 99")).where("rule is null").collect()} == {"allow"}
     assert url_filters.judge_urls(pages.where("page_id > 99"), outcomes).count() == 0
+
+
+def test_lines_edit_similarity_is_the_distance_itself(spark):
+    rng, rows = random.Random(11), []
+    for n in (3, 8, 15, 40):
+        for _ in range(40):
+            words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+            line = list(" ".join(words))
+            share = rng.choice([0.05, 0.1, 0.18, 0.2, 0.25])
+            for at in rng.sample(range(len(line)), int(share * len(line))):
+                if line[at] != " ":
+                    line[at] = rng.choice("abcdefghij")
+            rows.append((" ".join(words), "".join(line)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    exact = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) >= 0.8
+    got = df.select(lines._edit_similar(F.col("a"), F.col("b"), 0.8).alias("got"), exact.alias("want")).collect()
+    assert all(bool(r.got) == r.want for r in got) and {r.want for r in got} == {True, False}
