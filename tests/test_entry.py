@@ -22,7 +22,7 @@ def test_same_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("lineitem", "events", "documents"):
+    for t in ("lineitem", "events", "documents", "part"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = registry.queries()[name](spark, SMALL)
     names = sorted(df.columns)
