@@ -395,3 +395,18 @@ def test_lines_edit_similarity_is_the_distance_itself(spark):
     exact = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) >= 0.8
     got = df.select(lines._edit_similar(F.col("a"), F.col("b"), 0.8).alias("got"), exact.alias("want")).collect()
     assert all(bool(r.got) == r.want for r in got) and {r.want for r in got} == {True, False}
+
+
+def test_long_lines_by_pieces_and_counts(spark):
+    rng, rows = random.Random(77), []
+    for i in range(16):
+        words = prose(600, 400 + i).split()
+        for j in rng.sample(range(600), rng.randint(30, 200)):
+            words[j] = "".join(rng.choice("abcdéxyzß") for _ in range(rng.randint(1, 12)))
+        rows.append((prose(600, 400 + i), " ".join(words)))
+    rows += [("a" * 3000, "b" * 3000), ("a" * 3000, "a" * 2400 + "b" * 600), ("a" * 3000, "a" * 2399 + "b" * 601)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    exact = F.levenshtein("a", "b") <= F.floor(F.greatest(F.length("a"), F.length("b")) * 0.2 + 1e-9)
+    got = df.select(lines._edit_similar(F.col("a"), F.col("b"), 0.8).alias("got"), exact.alias("want"), F.length("a").alias("n")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and {r.got for r in got[:16]} == {True, False} and min(r.n for r in got) > lines.LONG
+    assert [r.got for r in got[16:]] == [False, True, False]
