@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as ag
 from ..sources.formats import subsequences
+from ..storage import cut
 from .tables import ALN, aln, table
 
 SITE = ["chrom", "strand"]
@@ -36,7 +37,7 @@ def _with_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _placed(spark, sf_dir)
     places = rows.select("chrom", F.explode(F.array("start", "end")).alias("p")).distinct()
     ranges = places.select(F.concat_ws("\t", "chrom", "p").alias("id"), "chrom", (F.col("p") - 8).alias("start"), (F.col("p") + 8).alias("end"))
-    around = subsequences(ranges, _genome(spark, sf_dir), CHUNK).select("chrom", (F.col("start") + 8).alias("p"), "seq")
+    around = cut(subsequences(ranges, _genome(spark, sf_dir), CHUNK).select("chrom", (F.col("start") + 8).alias("p"), "seq"), "letters-around")
     for side in ("start", "end"):
         rows = rows.join(around.select("chrom", F.col("p").alias(side), F.col("seq").alias(f"{side}_seq")), ["chrom", side])
     odd = F.expr("cast(substr(name, 2) as bigint) % 4 < (donor div if(long, 200, 100)) % 5")
@@ -48,7 +49,8 @@ def _with_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cigar = F.array(op(0, F.col("start") - F.col("rs")), op(3, F.col("end") - F.col("start")), op(0, F.col("re") - F.col("end")))
     pair = lambda s, e: F.struct(F.col(s).alias("start"), F.col(e).alias("end"))
     read = F.xxhash64("chrom", "strand", "rs", "start", "end", "re").alias("read")  # equal reads move alike
-    return rows.select(read, "chrom", "strand", "rs", F.array(pair("rs", "start"), pair("end", "re")).alias("blocks"), cigar.alias("cigar"), seq.alias("seq"), "long", F.col("start").alias("was"))
+    found = rows.select(read, "chrom", "strand", "rs", F.array(pair("rs", "start"), pair("end", "re")).alias("blocks"), cigar.alias("cigar"), seq.alias("seq"), "long", F.col("start").alias("was"))
+    return cut(found, "reads-with-bases")
 
 
 def _introns(spark: SparkSession, sf_dir: str, long: bool) -> DataFrame:
@@ -56,8 +58,8 @@ def _introns(spark: SparkSession, sf_dir: str, long: bool) -> DataFrame:
     return rows.withColumn("spliced", F.lit(False) if long else F.col("support") > 5)
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = _with_bases(spark, sf_dir)
+def _decided(spark: SparkSession, sf_dir: str, reads: DataFrame | None = None) -> DataFrame:
+    reads = _with_bases(spark, sf_dir) if reads is None else reads
     return ag.decisions(_introns(spark, sf_dir, False), _introns(spark, sf_dir, True), reads.where("not long"), reads.where("long"), _genome(spark, sf_dir), CHUNK)
 
 
@@ -128,9 +130,9 @@ Q_UNION_INTRONS = f'{_DECIDED} SELECT chrom, strand, start, stop AS "end", suppo
 
 def q_moved_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long reads of which a vote has moved the intron, at their new place."""
-    reads = _with_bases(spark, sf_dir).where("long")
-    decided = _decided(spark, sf_dir).where("rule = 'votes'")
-    moved = ag.agreed_reads(reads, decided).select("chrom", "was", F.col("blocks")[0]["end"].alias("start"), F.col("blocks")[1]["start"].alias("end"))
+    reads = _with_bases(spark, sf_dir)
+    decided = _decided(spark, sf_dir, reads).where("rule = 'votes'")
+    moved = ag.agreed_reads(reads.where("long"), decided).select("chrom", "was", F.col("blocks")[0]["end"].alias("start"), F.col("blocks")[1]["start"].alias("end"))
     return moved.where("was <> start").groupBy("chrom", "was", "start", "end").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -52,3 +52,15 @@ def test_wrong_index(spark, tmp_path):
         file.write("c9\t1000\t900\t50\t51\n")
     with pytest.raises(Exception, match="index differ"):
         genome.read_genome(spark, path).count()
+
+
+def test_a_genome_is_never_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from spanweave.sources.formats import subsequences
+
+    genome = spark.range(50).select(F.lit("c").alias("chrom"), F.col("id").alias("chunk_no"), F.repeat(F.lit("ACGT"), 2).alias("seq"))
+    ranges = spark.range(3).select(F.col("id").cast("string").alias("id"), F.lit("c").alias("chrom"), (F.col("id") * 8 + 6).alias("start"), (F.col("id") * 8 + 10).alias("end"))
+    found = subsequences(ranges, genome, 8)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["seq"] for r in found.collect()} == {"GTAC"}
