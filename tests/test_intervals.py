@@ -156,3 +156,20 @@ def test_sweeps_do_not_depend_on_tiles(spark):
     for g in ("a", "b", None):
         for p in range(370):
             assert depth.get((g, p), 0) == sum(x[0] == g and x[1] <= p < x[2] for x in rows)
+
+
+def test_repeats_are_those_of_the_row_before(spark):
+    rng, order = random.Random(3), ["s", "k", "e", "name"]
+    rows = [(rng.choice(["a", None]), rng.randrange(3000), rng.choice(["+", "-", None]), rng.randrange(2), f"n{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "c string, s long, k string, e long, name string")
+    for same in (["s", "k"], ["k"], ["e", "k"]):
+        want, last = [], {}
+        at = [["c", "s", "k", "e", "name"].index(x) for x in same]
+        for r in sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3], r[4])):
+            key = tuple(r[i] for i in at)
+            want += [r] if last.get(r[0]) != key else []
+            last[r[0]] = key
+        got = iv.drop_repeats(df, ["c"], order, same, 1000)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = iv.drop_repeats(df, ["c"], order, ["s", "k"]).select("s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "name" not in plan.split("Relation")[0].split("LogicalRDD")[0]
