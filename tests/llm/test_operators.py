@@ -368,6 +368,26 @@ def test_toxicity(spark, none):
     assert toxicity.with_scores(none, model).count() == 0 and toxicity.train(none, labels).thresholds == {}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    # a word that only labels beyond any fixed number of rows, and long texts, teach
+    rows = [(i, prose(12, 100 + i) + (" vilest" if i % 4 == 0 else ""), "en", "k", "w") for i in range(600)]
+    rows += [(1000 + i, "grubbiest " + prose(6000, 50 + i % 3), "de", "k", "w") for i in range(30)]
+    df = spark.createDataFrame(rows + [(2000, "grubbiest " + prose(12, 77), "en", "k", "w")], DOC)
+    labels = spark.createDataFrame([(r[0], int(r[0] >= 1000 or r[0] % 4 == 0)) for r in rows], "doc_id long, toxic int")
+    seen, counted = spark.sparkContext.accumulator(0), toxicity._counted
+
+    def counting(table):
+        seen.add(table.num_rows)
+        return counted(table)
+
+    monkeypatch.setattr(toxicity, "_counted", counting)
+    model = toxicity.train(df, labels, part=200)
+    assert 400 < seen.value < 630
+    got = {r.doc_id: r.score for r in toxicity.with_scores(df, model).collect()}
+    right = [(got[i] >= 0.5) == (i % 4 == 0) for i in range(600)]
+    assert sum(right) >= 570 and got[2000] > 0.5
+
+
 def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1?x", "https://blog.a.example.com/en/", "http://a.net/es/x#y", "http://a.net/de/", "no url", None, "x://h", "http://example.com", "a://b://c/d", "http://notexample.com/en/"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
