@@ -116,6 +116,20 @@ def test_line_recall_of_changed_words(spark):
     assert got <= want and len(want) > 80 and len(got) >= 0.99 * len(want)
 
 
+def test_lines_that_meet_by_boilerplate_alone(spark):
+    rng = random.Random(9)
+    boilerplate, rows = prose(16, 71), []
+    for i in range(12):
+        own = [f"{w}{rng.choice('abcdefghij')}{w[::-1]}" for w in prose(20, 7100 + i).split()]
+        turned = [w[:-1] + "z" for w in own]
+        rows += [(2 * i, f"{boilerplate} {' '.join(own)}"), (2 * i + 1, f"{boilerplate} {' '.join(turned)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = df.alias("x").crossJoin(df.alias("y")).where("x.doc_id < y.doc_id and levenshtein(x.text, y.text, cast(floor(0.2 * greatest(length(x.text), length(y.text))) as int)) >= 0")
+    want = {r[0] for r in pairs.select("y.doc_id").collect()}
+    assert want == {2 * i + 1 for i in range(12)}
+    assert {r.doc_id for r in lines.dedup_lines(df).where("n_removed = 1").select("doc_id").collect()} == want
+
+
 def test_lines_that_differ_by_punctuation(spark):
     line = prose(12, 41).split()
     rows = [(1, "---\n" + " ".join(line) + "\n}"), (2, "---\n" + ", ".join(line) + "\r\n}"), (3, "\t" + "\t".join(line) + ".\n---")]
