@@ -37,6 +37,15 @@ def test_other_folders_are_pruned_at_run_time(spark, tmp_path):
     assert scans and min(scans) < len(glob.glob(f"{path}/reads/chrom=*/bin=*/*.parquet")) / 4
 
 
+def test_small_bins_make_no_more_folders(spark, tmp_path):
+    path, rows = stored(spark, tmp_path, 20)
+    assert len(glob.glob(f"{path}/reads/chrom=*/bin=*")) <= 3 * layout.FOLDERS
+    regions = [("1", 20_000, 21_000, "a"), ("2", 999, 1001, "b"), ("x", 59_000, 90_000, "c"), ("x", 20_510, 20_511, "d")]
+    found = layout.scan_stored(spark.createDataFrame(regions, "chrom string, start long, end long, tag string"), path)
+    assert sorted((r.tag, r.name) for r in found.collect()) == sorted((t, n) for c, s, e, t in regions for k, a, b, n in rows if k == c and a < e and s < b)
+    assert sorted(tuple(r) for r in layout.stored_reads(spark, path).select("chrom", "rs", "re", "name").collect()) == sorted(rows)
+
+
 def _scan_metrics(df):
     """Files read by each scan of an executed plan."""
     df.collect()
