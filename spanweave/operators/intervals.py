@@ -152,9 +152,14 @@ def segment_index(elements: DataFrame, segs: DataFrame, by: list[str], start: st
 
 
 def runs(df: DataFrame, by: list[str], index: str) -> DataFrame:
-    """Runs of consecutive integers: by, first, last."""
+    """Runs of consecutive integers: by, first, last. Only neighbours are looked at, so that one sort is all a task holds."""
     w = Window.partitionBy(*by).orderBy(index)
-    return df.select(*by, index).distinct().withColumn("__run", F.col(index) - F.row_number().over(w)).groupBy(*by, "__run").agg(F.min(index).alias("first"), F.max(index).alias("last")).drop("__run")
+    opens = F.coalesce(F.lag(index).over(w) != F.col(index) - 1, F.lit(True))
+    closes = F.coalesce(F.lead(index).over(w) != F.col(index) + 1, F.lit(True))
+    ends = df.select(*by, index).distinct().withColumn("__opens", opens).withColumn("__closes", closes).where("__opens or __closes")
+    # a run's closing row follows its opening one, if it isn't the same
+    last = F.when(F.col("__closes"), F.col(index)).otherwise(F.lead(index).over(w))
+    return ends.withColumn("__last", last).where("__opens").select(*by, F.col(index).alias("first"), F.col("__last").alias("last"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -65,6 +65,21 @@ def test_runs_and_segments(spark):
     assert [(r.seg_idx, r.start, r.end) for r in iv.segments(bounds, ["g"]).orderBy("seg_idx").collect()] == [(0, 10, 20), (1, 20, 45)]
 
 
+def test_runs_hold_one_sort_and_keep_nulls(spark):
+    rng, rows = random.Random(8), [("a", None), ("b", 4), (None, 1), (None, 2), (None, 2)]
+    rows += [(rng.choice("abc"), rng.randrange(-30, 60)) for _ in range(150)]
+    want = set()
+    for g in {r[0] for r in rows}:
+        own = {i for h, i in rows if h == g and i is not None}
+        firsts = sorted(i for i in own if i - 1 not in own)
+        want |= {(g, i, next(k for k in range(i, 99) if k + 1 not in own)) for i in firsts}
+    found = iv.runs(spark.createDataFrame(rows, "g string, i long"), ["g"], "i")
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want | {("a", None, None)} and len(got) == len(set(got))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 2  # of the distinct rows only
+
+
 def test_quantiles():
     assert quantiles.poisson_inverse(6.55) == 13
     assert quantiles.poisson_inverse(0.0) == 0
