@@ -444,3 +444,26 @@ def test_long_lines_by_pieces_and_counts(spark):
     got = df.select(lines._edit_similar(F.col("a"), F.col("b"), 0.8).alias("got"), exact.alias("want"), F.length("a").alias("n")).collect()
     assert [r.got for r in got] == [r.want for r in got] and {r.got for r in got[:16]} == {True, False} and min(r.n for r in got) > lines.LONG
     assert [r.got for r in got[16:]] == [False, True, False]
+
+
+def test_scales_turn_down_no_pair_that_counts_keep(spark):
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        words = prose(rng.choice([2, 6, 20, 90]), 900 + i).split()
+        turned = [w if rng.random() < rng.choice([0.5, 0.8, 0.95]) else "ßx" + w[::-1] for w in words]
+        rows.append((" ".join(words), " ".join(turned) if i % 3 else prose(len(words), 5000 + i)))
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame(rows, "a string, b string")
+    counts = lines._counts_near(F.length(a), F.length(b), lines._counts(a), lines._counts(b), 0.8)
+    scales = lines._scales_near(F.length(a), F.length(b), lines._scales(a), lines._scales(b), 0.8)
+    near = [lines._edit_similar(a, b, 0.8, quick=quick) for quick in (True, False)]
+    got = df.select(counts.alias("counts"), scales.alias("scales"), near[0].alias("near"), near[1].alias("direct")).collect()
+    assert all(r.scales or not r.counts for r in got) and {r.scales for r in got} == {True, False}
+    assert [r.near for r in got] == [r.direct for r in got] and {r.near for r in got} == {True, False}
+
+
+def test_runs_of_lines_are_shuffled_once(spark):
+    distinct = spark.createDataFrame([(1, prose(9, 1)), (2, prose(9, 1) + " x"), (3, prose(9, 2))], "node long, norm string")
+    found = lines._members(distinct)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Window") == 1 and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.node for r in found.collect()} == {1, 2} and set(found.columns) == {"bucket", "node", "len"}
