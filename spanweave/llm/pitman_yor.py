@@ -41,6 +41,7 @@ from __future__ import annotations
 import math
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,8 @@ COMMON, WIDE = 1 << 18, 26
 FAT = 64
 BEGIN, END = np.uint64(1), np.uint64(2)
 EXACT = 400
+#: Weights of more customers are taken for so many tables at first; those of KNOWN numbers of customers are kept.
+FIRST, KNOWN = 512, 4096
 BURN_IN, SAMPLES, SWEEPS, PARTS = 2, 2, 5, 4
 STRENGTH_ROOT, STRENGTH = 10.0, 1.0
 #: Sums cross the network as whole numbers of these units.
@@ -112,6 +115,11 @@ def frequent(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.append(own[big].view(np.int64), -1)), pa.array(np.append(n[big], len(context)))], ["context", "n"])
 
 
+def home(batch: int, n_buckets: int) -> int:
+    """The bucket of a batch's documents. Numbers of batches have the scan's partition in their upper bits, so they are mixed first."""
+    return int(mix(np.array([batch], np.uint64))[0] % np.uint64(n_buckets))
+
+
 DEALT = "kind int, bucket int, id long, n long, payload binary"
 PACKED, DOCS, FATS = range(3)
 
@@ -129,7 +137,7 @@ def deal(n_buckets: int, common: np.ndarray, hot: np.ndarray):
         doc = np.concatenate([(f[2] + base).astype(np.int32) for f, base in zip(found, np.cumsum(sizes) - sizes, strict=True)])
         context, word = (np.concatenate([f[i] for f in found]) for i in (3, 4))
         found.clear()
-        yield DOCS, batch % n_buckets, batch, None, pack(keys, ints(np.bincount(doc, minlength=len(keys))))
+        yield DOCS, home(batch, n_buckets), batch, None, pack(keys, ints(np.bincount(doc, minlength=len(keys))))
         where = context.copy()
         split = np.isin(context, hot)
         where[split] = mix(context[split] ^ (word[split] << np.uint64(3)))
@@ -158,7 +166,7 @@ def deal(n_buckets: int, common: np.ndarray, hot: np.ndarray):
             fat = size >= FAT
             for p in np.flatnonzero(fat):
                 own = slice(pair[p], pair[p] + size[p])
-                yield FATS, batch % n_buckets, pair_key(hash_of(c[pair[p]]), hash_of(w[pair[p]])), batch, pack(ints(d[own]), ints(times[own]))
+                yield FATS, home(batch, n_buckets), pair_key(hash_of(c[pair[p]]), hash_of(w[pair[p]])), batch, pack(ints(d[own]), ints(times[own]))
             thin = ~np.repeat(fat, size)
             yield PACKED, int(b), batch, None, pack(planes(table, 8), steps_of(c[pair], w[pair]), ints(learned), ints(np.where(fat, 0, size)), fat, ints(d[thin]), ints(times[thin]))
 
@@ -278,7 +286,7 @@ class Stirling:
             t = np.arange(1, c + 1)
             s[c + 1, 1 : c + 1] = s[c, 1 : c + 1] + np.log(c - d * t)
             s[c + 1, 2 : c + 2] = np.logaddexp(s[c + 1, 2 : c + 2], s[c, 1 : c + 1])
-        self.exact, self.table = exact, s
+        self.exact, self.table, self.known = exact, s, {}
         # saddle points z of ((1 - (1 - z)^d) / d)^t / z^c, by log(c / t)
         far = -np.exp(np.linspace(math.log(1e-7), math.log(40 / (1 - d)), points))  # log(1 - z)
         z, rest = -np.expm1(far), -np.expm1(d * far)
@@ -296,8 +304,13 @@ class Stirling:
         """log S(c, t) for t from 1 to most, which is c at most."""
         if c <= self.exact:
             return self.table[c, 1 : most + 1]
+        if (c, most) in self.known:
+            return self.known[c, most]
         t = np.arange(1, most + 1)
-        return self._saddle(c, t) + self.off[np.minimum(t, len(self.off)) - 1]
+        found = self._saddle(c, t) + self.off[np.minimum(t, len(self.off)) - 1]
+        if most <= FIRST and len(self.known) < KNOWN:
+            self.known[c, most] = found
+        return found
 
 
 @dataclass
@@ -315,6 +328,11 @@ class Back:
         value = self.value[rows][:, None]
         return np.log(value + k + self.new - self.discount * ((value == 0) & (k > 0))) - np.log(self.seats + k)
 
+    def ratios(self, rows: np.ndarray, most: int) -> np.ndarray:
+        """exp of logs for each further table, from the second on: tables by rows."""
+        k, value = np.arange(1, most)[:, None], self.value[rows]
+        return (value + (self.new - self.discount * (value == 0)) + k) / (self.seats + k)
+
 
 @dataclass
 class Flat:
@@ -325,6 +343,34 @@ class Flat:
     def logs(self, rows: np.ndarray, most: int) -> np.ndarray:
         return np.full((len(rows), most), self.log)
 
+    def ratios(self, rows: np.ndarray, most: int) -> np.ndarray:
+        return np.full((most - 1, len(rows)), math.exp(self.log))
+
+
+def _draw_few(out: np.ndarray, rows: np.ndarray, c: int, log_pull: np.ndarray, back, stirling: Stirling, rng) -> np.ndarray:
+    """Tables of dishes with c customers, from weights in proportion to that of one table; the rows whose weights
+    are too large for that are returned. One uniform number a dish and no logarithms of single weights."""
+    step = np.exp(np.diff(stirling.of(c, c)))[:, None] * np.exp(log_pull[rows])
+    step *= back.ratios(rows, c)
+    below = np.empty((c, len(rows)))
+    below[0] = weight = np.ones(len(rows))
+    with np.errstate(over="ignore", invalid="ignore"):
+        if len(rows) < c:
+            below[1:] = 1 + np.cumsum(np.cumprod(step, axis=0), axis=0)
+        else:
+            for t in range(1, c):
+                weight = weight * step[t - 1]
+                np.add(below[t - 1], weight, out=below[t])
+    fits = below[-1] < 1e300
+    out[rows] = np.where(fits, 1 + (below[:-1] <= rng.random(len(rows)) * below[-1]).sum(axis=0), 1)
+    return rows[~fits]
+
+
+@lru_cache(8)
+def stirling_of(discount: float) -> Stirling:
+    """Kept from task to task."""
+    return Stirling(discount)
+
 
 def draw_tables(customers: np.ndarray, log_pull: np.ndarray, back, stirling: Stirling, rng) -> np.ndarray:
     """A Gibbs step: tables of each dish given its customers, log_pull (the log of the discount and
@@ -336,7 +382,11 @@ def draw_tables(customers: np.ndarray, log_pull: np.ndarray, back, stirling: Sti
         if c < 2:
             continue
         rows = order[lo:hi]
-        most = c if c <= stirling.exact else min(c, 512)
+        if c <= stirling.exact:
+            rows = _draw_few(out, rows, c, log_pull, back, stirling, rng)
+            if not len(rows):
+                continue
+        most = c if c <= stirling.exact else min(c, FIRST)
         while True:
             weight = stirling.of(c, most) + np.cumsum(back.logs(rows, most) + log_pull[rows][:, None], axis=1)
             if most == c or (weight[:, -1] < weight.max(axis=1) - 40).all():
@@ -380,7 +430,7 @@ def parent_answers(level: Level, vocabulary: int, gamma: float, seed: int, numbe
         sent = np.concatenate([by_bucket[b] for b in buckets.tolist()]) if by_bucket else first
         customers = np.bincount(index, weights=sent.astype(float), minlength=int(size[0])).astype(np.int64)
         rng = np.random.default_rng([seed, number, q, 1])
-        tables = draw_tables(customers, np.full(len(customers), math.log(level.discount * gamma)), Flat(-math.log(vocabulary + 1)), Stirling(level.discount), rng)
+        tables = draw_tables(customers, np.full(len(customers), math.log(level.discount * gamma)), Flat(-math.log(vocabulary + 1)), stirling_of(level.discount), rng)
         rows = [(PARENT, int(b), q, pack(ints(customers[at]), ints(tables[at])), None, number, None) for b, at in zip(buckets, np.split(index, ends[:-1]), strict=True)]
         rows.append((TOTAL, q, None, None, None, int(customers.sum()), int(tables.sum())))
         rows.append((HOT, q, None, None, None, int((customers == 1).sum()), int((customers == 2).sum())))
@@ -412,20 +462,23 @@ class Seating:
         self.level, self.root, self.rng = level, root, rng
         self.c, self.w, self.customers, self.tables = (x.astype(np.int64) for x in (c, w, customers, tables))
         self.total, self.parent_customers, self.parent_tables = total, parent_customers, parent_tables
-        self.stirling = Stirling(level.discount)
+        self.stirling = stirling_of(level.discount)
         part = mix(self.c.astype(np.uint64) + np.uint64(1)) % np.uint64(PARTS)
-        self.parts = [np.flatnonzero(part == p) for p in range(PARTS)]
+        order = np.argsort(self.customers, kind="stable")
+        parts = [order[part[order] == p] for p in range(PARTS)]
+        # a part's dishes, its contexts, and which of these a dish has
+        self.parts = [(rows, *np.unique(self.c[rows], return_inverse=True)) for rows in parts]
 
     def sweep(self) -> None:
         d = self.level.discount
         root = self.root.level
-        for part in self.parts:
+        for part, own, of in self.parts:
             c, w, mine = self.c[part], self.w[part], self.tables[part]
-            gamma = self.rng.gamma(self.level.strength / d + self.total)
+            gamma = self.rng.gamma(self.level.strength / d + self.total[own])
             others = self.parent_customers[w] - mine
             value = np.maximum(others - root.discount * np.minimum(self.parent_tables[w], others), 0.0)
             back = Back(value, self.root.new(), root.strength + max(self.root.customers - 1, 0), root.discount)
-            fresh = draw_tables(self.customers[part], np.log(d * np.maximum(gamma, 1e-300))[c], back, self.stirling, self.rng)
+            fresh = draw_tables(self.customers[part], np.log(d * np.maximum(gamma, 1e-300))[of], back, self.stirling, self.rng)
             more = (fresh - mine).astype(float)
             self.tables[part] = fresh
             self.total = self.total + np.bincount(c, weights=more, minlength=len(self.total))
@@ -507,7 +560,7 @@ def score(level: Level, roots: dict[int, Root], hots: dict[int, dict[int, tuple[
         edges = np.searchsorted(at // width, np.arange(len(batches) + 1))
         for b, lo, hi in zip(batches.tolist(), edges[:-1], edges[1:], strict=True):
             if hi > lo:
-                rows.append((PACKED, b % n_buckets, b, None, None, None, pack(ints(at[lo:hi] % width), *(ints(np.round(v[lo:hi])) for v in values))))
+                rows.append((PACKED, home(b, n_buckets), b, None, None, None, pack(ints(at[lo:hi] % width), *(ints(np.round(v[lo:hi])) for v in values))))
         return _sums(rows)
 
     return run
@@ -522,7 +575,7 @@ def fat_sums(n_buckets: int):
             rows = []
             for b, known, count, value, payload in zip(*cols, batch.column("payload"), strict=True):
                 d, times = (from_planes(x).astype(np.int64) for x in unpack(payload.as_py()))
-                rows.append((PACKED, b % n_buckets, b, None, None, None, pack(ints(d), *(ints(np.round(x * times)) for x in (known, count / BASE_UNIT, -value / SCORE_UNIT)))))
+                rows.append((PACKED, home(b, n_buckets), b, None, None, None, pack(ints(d), *(ints(np.round(x * times)) for x in (known, count / BASE_UNIT, -value / SCORE_UNIT)))))
             yield from _sums(rows).to_batches()
 
     return run

@@ -467,3 +467,23 @@ def test_runs_of_lines_are_shuffled_once(spark):
     found = lines._members(distinct)
     assert found._jdf.queryExecution().sparkPlan().toString().count("Window") == 1 and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {r.node for r in found.collect()} == {1, 2} and set(found.columns) == {"bucket", "node", "len"}
+
+
+def test_batches_of_documents_spread_over_buckets():
+    for n in (4, 7, 8):
+        assert len({pitman_yor.home(part << 32, n) for part in range(200)}) == n
+
+
+def test_few_customers_are_seated_by_plain_weights():
+    """Drawn with a uniform number a dish: against the weights' logarithms, a parent's too, and where plain weights overflow."""
+    numbers, n = pitman_yor.Stirling(0.5), 40_000
+    back = pitman_yor.Back(np.array([0.0, 3.0]), 0.2, 50.0, 0.5)
+    for c, pull, dish in ((2, 30.0, 0), (6, 40.0, 1), (50, 25.0, 1)):
+        weight = numbers.of(c, c) + np.cumsum(back.logs(np.array([dish]), c)[0] + math.log(pull))
+        want = np.exp(weight - weight.max()) / np.exp(weight - weight.max()).sum()
+        one = pitman_yor.Back(np.full(n, back.value[dish]), back.new, back.seats, back.discount)
+        drawn = np.ones(n, np.int64)
+        left = pitman_yor._draw_few(drawn, np.arange(n), c, np.full(n, math.log(pull)), one, numbers, np.random.default_rng(3))
+        assert not len(left) and np.abs(np.bincount(drawn, minlength=c + 1)[1:] / n - want).sum() / 2 < 0.015
+    drawn = pitman_yor.draw_tables(np.full(9, 400), np.full(9, 30.0), pitman_yor.Flat(0.0), numbers, np.random.default_rng(4))
+    assert (drawn > 395).all()
