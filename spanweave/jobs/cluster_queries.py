@@ -34,7 +34,7 @@ m AS (SELECT node AS read, min(seen) AS cluster FROM h GROUP BY 1)"""
 
 def q_read_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of each read that share over 0.9 of either's aligned bases, counted for each."""
-    found = genes.overlap_ratios(_reads(spark, sf_dir), KEYS).where(F.greatest("ratio_a", "ratio_b") > 0.9)
+    found = genes.overlap_ratios(_reads(spark, sf_dir), KEYS, 0.9)
     return found.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ratio_a"), 6).alias("ratio"))
 
 
