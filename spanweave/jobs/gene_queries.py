@@ -56,10 +56,7 @@ SELECT chrom, strand, donor, acceptor, coalesce(n, m) AS support, CASE WHEN n IS
 def q_lone_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read ends without an acceptor within 30 bases on either side."""
     reads = aln(spark, sf_dir)
-    ends = reads.select(*SITE, F.col("re").alias("pos")).distinct()
-    targets = reads.select(*SITE, F.col("acceptor").alias("pos"))
-    near = iv.union_all([iv.nearest_after(ends, targets, SITE, 0, 29), iv.nearest_before(ends, targets, SITE, 0, 29)])
-    return near.groupBy(*SITE, "pos").agg(F.count("target").alias("n")).where("n = 0").select(*SITE, "pos")
+    return iv.lone(reads.select(*SITE, F.col("re").alias("pos")), reads.select(*SITE, F.col("acceptor").alias("pos")), SITE, 29)
 
 
 Q_LONE_SITES = f"WITH {ALN}, s AS (SELECT DISTINCT chrom, strand, re AS pos FROM aln), t AS (SELECT DISTINCT chrom, strand, acceptor FROM aln) SELECT chrom, strand, pos FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.chrom = s.chrom AND t.strand = s.strand AND abs(acceptor - pos) < 30)"

@@ -96,9 +96,8 @@ def gene_sites(known: DataFrame, annotated: DataFrame, reads: DataFrame, by: lis
 
 def away_from(sites: DataFrame, others: DataFrame, by: list[str], distance: int) -> DataFrame:
     """Sites without another one at less than distance, on either side."""
-    near = [f(sites.select(*by, "pos").distinct(), others.select(*by, "pos"), by, 0, distance - 1) for f in (iv.nearest_after, iv.nearest_before)]
-    lone = iv.union_all(near).groupBy(*by, "pos").agg(F.count("target").alias("n")).where("n = 0")
-    return sites.join(lone.select(*by, "pos"), [*by, "pos"], "left_semi")
+    lone = iv.lone(sites.select(*by, "pos"), others.select(*by, "pos"), by, distance - 1)
+    return sites.join(lone, [*by, "pos"], "left_semi")
 
 
 def moved_introns(blocks: Column, start: Column, end: Column) -> Column:

@@ -123,6 +123,36 @@ def nearest_before(sites: DataFrame, targets: DataFrame, by: list[str], low: int
     return found.select(*by, (-F.col(pos)).alias(pos), (-F.col("target")).alias("target"))
 
 
+def lone(sites: DataFrame, targets: DataFrame, by: list[str], reach: int, pos: str = "pos", tile: int = 1 << 16) -> DataFrame:
+    """Distinct sites without a target at a distance of up to reach, on either side: by, pos. A stretch of a few positions
+    is one row: its sites as bits, its first and last target. In a stretch no wider than reach any target is near its
+    sites; beyond it the last target before and the first one after it count. Tiles of positions also get the
+    targets within reach of them. A null meets nothing."""
+    size = min(reach + 1, 62)
+    wide = max(tile // size, reach // size + 2)  # stretches of a tile
+    p, start = F.col(pos), F.col("__bin") * size
+    none = F.lit(None).cast("long")
+    at = F.floor(p / size).alias("__bin")
+    bit = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), (p - F.floor(p / size) * size).cast("int")), F.lit(1).cast("long"))
+    known = targets.dropna(subset=[*by, pos])
+    both = sites.select(*by, at, bit.alias("__sites"), none.alias("__low"), none.alias("__high"))
+    both = both.unionByName(known.select(*by, at, F.lit(0).cast("long").alias("__sites"), p.cast("long").alias("__low"), p.cast("long").alias("__high")))
+    bins = both.groupBy(*by, "__bin").agg(F.bit_or("__sites").alias("__sites"), F.min("__low").alias("__low"), F.max("__high").alias("__high"))
+    home = F.floor(F.col("__bin") / wide)
+    tile_at = lambda x: F.floor(F.floor(x / size) / wide)
+    seen = F.when(F.col("__low").isNull(), F.array(home)).otherwise(F.array_distinct(F.array(home, tile_at(F.col("__low") - reach), tile_at(F.col("__high") + reach))))
+    w = Window.partitionBy(*by, "__tile")
+    before = F.max("__high").over(w.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("__low").over(w.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1))
+    tiled = bins.withColumn("__tile", F.explode(seen)).withColumn("__before", before).withColumn("__after", after)
+    held = tiled.where(F.col("__tile").eqNullSafe(home) & (F.col("__sites") != 0) & F.col("__low").isNull())
+    offsets = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.call_function("shiftright", F.col("__sites"), i).bitwiseAND(F.lit(1)) == 1)
+    held = held.select(*by, "__before", "__after", "__bin", F.explode(offsets).alias("__offset"))
+    found = held.select(*by, "__before", "__after", (start + F.col("__offset")).alias(pos))
+    found = found.where((F.col("__before").isNull() | (p - F.col("__before") > reach)) & (F.col("__after").isNull() | (F.col("__after") - p > reach)))
+    return found.select(*by, p.cast(sites.schema[pos].dataType).alias(pos))
+
+
 def local_maxima(df: DataFrame, by: list[str], pos: str, value: str, reach: int, tile: int = TILE) -> DataFrame:
     """Rows whose value is the greatest within reach on both sides, the leftmost of equals. A tile sees the rows within
     reach of it too."""

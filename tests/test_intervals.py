@@ -188,3 +188,20 @@ def test_repeats_are_those_of_the_row_before(spark):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     plan = iv.drop_repeats(df, ["c"], order, ["s", "k"]).select("s")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "name" not in plan.split("Relation")[0].split("LogicalRDD")[0]
+
+
+def test_lone_sites_by_stretches(spark):
+    """Against brute force, where tiles of a few stretches have borders everywhere; nulls meet nothing."""
+    rng = random.Random(8)
+    sites = [("c" if rng.random() < 0.7 else "d", rng.randint(-3000, 3000)) for _ in range(600)]
+    targets = [("c" if rng.random() < 0.7 else "d", rng.randint(-3000, 3000)) for _ in range(150)]
+    odd = [(None, 5), ("c", None), ("c", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "chrom string, pos long")
+    for reach in (0, 7, 29, 200):
+        want = {(c, p) for c, p in sites if not any(c == d and abs(p - q) <= reach for d, q in targets)} | set(odd)
+        for tile in (1, 64, 100, 1 << 16):
+            found = [tuple(r) for r in iv.lone(frame(sites + odd), frame(targets + odd), ["chrom"], reach, tile=tile).collect()]
+            assert len(found) == len(set(found)) and set(found) == want
+    # one row for a stretch of sites, and two shuffles
+    plan = iv.lone(frame(sites), frame(targets), ["chrom"], 29)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chrom") == 2
