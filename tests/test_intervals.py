@@ -205,3 +205,26 @@ def test_lone_sites_by_stretches(spark):
     # one row for a stretch of sites, and two shuffles
     plan = iv.lone(frame(sites), frame(targets), ["chrom"], 29)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(chrom") == 2
+
+
+def test_expression_bounds_are_taken_once_for_each_count(spark):
+    """All segments of a sample that show as much share their quantiles; lengths only scale them."""
+    import glob
+
+    from spanweave.functions import quantiles
+    from spanweave.operators import segments
+    from spanweave.storage import shared_dir
+
+    by = ["chrom", "strand", "gene"]
+    segs = spark.createDataFrame([("c", "+", g, 0, 1000 * g, 1000 * g + 200 + 100 * (g % 3)) for g in range(60)], "chrom string, strand string, gene long, seg_idx int, start long, end long")
+    depth = spark.createDataFrame([("c", "+", s, 1000 * g, 1000 * g + 150, 1 + g % 2) for g in range(50) for s in (1, 2)], "chrom string, strand string, sample long, start long, end long, depth long")
+    samples = spark.createDataFrame([(1, 1000, 150), (2, 2000, 150)], "sample long, mapped long, length int")
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    before = set(glob.glob(f"{folder}/count-bounds-*"))
+    got = segments.segment_expression(segs, depth, samples, by, by[:2]).collect()
+    assert len(got) == 120
+    (made,) = set(glob.glob(f"{folder}/count-bounds-*")) - before
+    assert spark.read.parquet(made).count() == 6  # no depth, one read and two, in both samples
+    for r in got:
+        want = quantiles.fpkm_bounds([r["count"]], [r.length], [1000 * r.sample])[0]
+        assert all(abs(x - y) <= 1e-9 * y for x, y in zip((r.low, r.middle, r.high), want, strict=True))
