@@ -32,6 +32,10 @@ h AS (SELECT read AS node, read AS seen FROM q UNION SELECT h.node, u.b FROM h J
 m AS (SELECT node AS read, min(seen) AS cluster FROM h GROUP BY 1)"""
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genes.clusters(_reads(spark, sf_dir), flat=genes.FLAT)
+
+
 def q_read_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of each read that share over 0.9 of either's aligned bases, counted for each."""
     found = genes.overlap_ratios(_reads(spark, sf_dir), KEYS, 0.9)
@@ -42,14 +46,14 @@ Q_READ_OVERLAPS = f"WITH {ALN}, {_READS} SELECT a, count(*) AS n, round(sum(rati
 
 
 def q_read_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return genes.clusters(_reads(spark, sf_dir)).select("read", "cluster")
+    return _clusters(spark, sf_dir).select("read", "cluster")
 
 
 Q_READ_CLUSTERS = f"WITH RECURSIVE {ALN}, {_READS}, {_CLUSTERS} SELECT read, cluster FROM m"
 
 
 def q_shared_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = genes.shared_introns(genes.clusters(_reads(spark, sf_dir)))
+    found = genes.shared_introns(_clusters(spark, sf_dir))
     return found.select("cluster", "other", F.round("ratio", 6).alias("ratio"))
 
 
@@ -63,7 +67,7 @@ Q_SHARED_INTRONS = f"WITH RECURSIVE {ALN}, {_READS}, {_CLUSTERS}, {_SHARED} SELE
 
 
 def q_strand_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return genes.strand_majority(genes.clusters(_reads(spark, sf_dir)))
+    return genes.strand_majority(_clusters(spark, sf_dir))
 
 
 _MAJORITY = """v AS (SELECT x.cluster, any_value(x.fl) + coalesce(sum(y.fl), 0) AS all_, any_value(x.fl) + coalesce(sum(CASE WHEN y.strand = x.strand THEN y.fl END), 0) AS same FROM c x LEFT JOIN g ON g.cluster = x.cluster AND ratio > 0.1 LEFT JOIN c y ON y.cluster = g.other GROUP BY 1)"""
@@ -78,7 +82,7 @@ def _depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_deep_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoffs = spark.range(2).select(F.col("id").alias("sample"), (F.col("id") * 2.0 + 9).alias("cutoff"))
-    return genes.deep_enough(genes.clusters(_reads(spark, sf_dir)), _depth(spark, sf_dir), cutoffs, 40)
+    return genes.deep_enough(_clusters(spark, sf_dir), _depth(spark, sf_dir), cutoffs, 40)
 
 
 _DEPTH = """bl AS (SELECT chrom, strand, sample % 2 AS sample, rs AS s, donor AS e FROM aln UNION ALL SELECT chrom, strand, sample % 2, acceptor, re FROM aln),
@@ -92,7 +96,7 @@ SELECT cluster FROM n WHERE k > 0 AND n_reads >= 40 UNION ALL SELECT DISTINCT cl
 
 def q_cluster_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = aln(spark, sf_dir).groupBy("chrom").agg(F.max("re").alias("length"))
-    return genes.gene_spans(genes.clusters(_reads(spark, sf_dir)), sizes)
+    return genes.gene_spans(_clusters(spark, sf_dir), sizes)
 
 
 Q_CLUSTER_SPANS = f"WITH RECURSIVE {ALN}, {_READS}, {_CLUSTERS}, {_SHARED} SELECT cluster, chrom, strand, greatest(lo - 1000, 1) AS start, least(hi + 1000, length) AS \"end\" FROM c JOIN (SELECT chrom, max(re) AS length FROM aln GROUP BY 1) USING (chrom)"
