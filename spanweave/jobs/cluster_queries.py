@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clusters as cl
 from ..operators import genes
 from ..operators import intervals as iv
+from ..storage import cut
 from .tables import ALN, aln
 
 KEYS = ["chrom", "strand"]
@@ -33,7 +34,8 @@ m AS (SELECT node AS read, min(seen) AS cluster FROM h GROUP BY 1)"""
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return genes.clusters(_reads(spark, sf_dir), flat=genes.FLAT)
+    """Written once: what clusters share and the vote of their strands read them several times."""
+    return cut(genes.clusters(_reads(spark, sf_dir), flat=genes.FLAT), "clusters")
 
 
 def q_read_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ Q_READ_OVERLAPS = f"WITH {ALN}, {_READS} SELECT a, count(*) AS n, round(sum(rati
 
 
 def q_read_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).select("read", "cluster")
+    return genes.clusters(_reads(spark, sf_dir), flat=genes.FLAT).select("read", "cluster")
 
 
 Q_READ_CLUSTERS = f"WITH RECURSIVE {ALN}, {_READS}, {_CLUSTERS} SELECT read, cluster FROM m"
